@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup
+from tessera.llm import bpe, chat, exact_dedup, packing, secrets, simhash
 
 QUERIES = {
+    "op4_chat_formatting": chat.op4,
+    "op5_secret_scans": secrets.op5,
+    "op6_simhash_near_dedup": simhash.op6,
+    "op7_best_fit_packing": packing.op7,
     "op8_exact_dedup": exact_dedup.op8,
+    "op10_bpe": bpe.op10,
 }
 
 SQL = {
+    "op4_chat_formatting": chat.OP4_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
