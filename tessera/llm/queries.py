@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, exact_dedup, licenses, packing, quality_rules, secrets, simhash, toxicity
+from tessera.llm import bpe, chat, exact_dedup, licenses, packing, perplexity, quality_rules, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
+    "op2_perplexity": perplexity.op2,
     "op3_license_scans": licenses.op3,
     "op4_chat_formatting": chat.op4,
     "op5_secret_scans": secrets.op5,
