@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import documents, fresh_path, stripped, written
+from tessera.llm.shared import KEY, documents, fresh_path, row_key, stripped, written
 
 #: Bits of the broadcast bitmap, as rows of 32,768: 8 MB whatever the size of the corpus.
 BITMAP_BITS = 1 << 26
@@ -51,12 +51,7 @@ def sha256(norm: Column) -> Column:
 def digests(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     """One narrow row per row of ``docs``; ``row`` tells repeated ids apart and locates the content."""
     norm = stripped(F.col("text"))
-    return docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        digest(norm).alias("digest"),
-        F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_points"),
-    )
+    return docs.select(F.monotonically_increasing_id().alias("row"), *row_key(), digest(norm).alias("digest"))
 
 
 def best() -> Column:
@@ -107,7 +102,7 @@ def repeated_texts(docs: DataFrame, repeated: DataFrame, digest: Callable[[Colum
 def exact_dedup(
     spark: SparkSession, docs: DataFrame, state_dir: str | None = None, digest: Callable[[Column], Column] = sha256
 ) -> DataFrame:
-    """row, doc_id, keep_id, group_size, kept, digest per row of ``docs`` (doc_id, text).
+    """row, doc_id, n_points, content, keep_id, group_size, kept, digest per row of ``docs`` (doc_id, text).
 
     ``digest`` maps the normalised text to the key of the state; a weak one costs time, not correctness.
     """
@@ -132,7 +127,7 @@ def exact_dedup(
 def _result(out: DataFrame) -> DataFrame:
     return out.select(
         "row",
-        "doc_id",
+        *KEY,
         (-F.col("best.neg_id")).alias("keep_id"),
         F.col("n").alias("group_size"),
         (-F.col("row")).eqNullSafe(F.col("best.neg_row")).alias("kept"),
@@ -144,11 +139,7 @@ def _regrouped(docs: DataFrame, rows: DataFrame, collided: DataFrame, digest: Ca
     """The rows of digests that different texts share, grouped by the text itself."""
     norm = stripped(F.col("text"))
     wide = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_points"),
-        norm.alias("norm"),
-        digest(norm).alias("digest"),
-        F.monotonically_increasing_id().alias("row"),
+        *row_key(), norm.alias("norm"), digest(norm).alias("digest"), F.monotonically_increasing_id().alias("row")
     ).join(collided, "digest", "left_semi")
     groups = wide.groupBy("norm").agg(F.count(F.lit(1)).alias("n"), F.max(best()).alias("best"))
     return _result(wide.join(groups, "norm"))

@@ -200,16 +200,23 @@ def redact_text(text: str | None, mark: str = "[SECRET]") -> str | None:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, column: str = "text") -> DataFrame:
-    """``docs`` with the secrets in ``column`` replaced; other columns and all rows stay."""
-    schema, at = docs.schema, docs.columns.index(column)
+def redact(docs: DataFrame, size_column: str | None = None) -> DataFrame:
+    """``docs`` with the secrets in ``text`` replaced, and the code points of changed texts in
+    ``size_column``; other columns and all rows stay."""
+    at = docs.columns.index("text")
+    at_size = docs.columns.index(size_column) if size_column else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            clean = pa.array([redact_text(t.as_py()) for t in batch.column(at)], pa.string())
-            yield batch.set_column(at, column, clean)
-
-    return mapped(docs, run, schema)
+            old = batch.column(at).to_pylist()
+            new = [redact_text(t) for t in old]
+            out = batch.set_column(at, "text", pa.array(new, pa.string()))
+            if at_size is not None:
+                sizes = [n if a is b else len(b) for a, b, n in zip(old, new, batch.column(at_size).to_pylist(), strict=True)]
+                out = out.set_column(at_size, size_column, pa.array(sizes, batch.schema.field(at_size).type))
+            yield out
+
+    return mapped(docs, run, docs.schema)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,36 @@ def stripped(text: Column) -> Column:
     return out
 
 
+#: Rows up to which a side of a join is broadcast after they are counted; beyond, both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+#: What tells rows of a documents table apart, whatever their order: id, code points and hash of the text.
+KEY = ("doc_id", "n_points", "content")
+
+
+def row_key() -> list[Column]:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_points"), F.xxhash64(text).alias("content")]
+
+
+def keep_rows(spark: SparkSession, docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``verdicts`` (KEY and kept, a row for each row of ``docs``) keep, all columns.
+
+    Rows with the same key are the same row repeated; one of them stays if any does.
+    """
+    keys = verdicts.groupBy(*KEY).agg(F.max("kept").alias("any_kept"), F.count(F.lit(1)).alias("copies"))
+    special = keys.filter("copies > 1 OR NOT any_kept").select(*[F.col(k).alias(f"key_{k}") for k in KEY], "any_kept")
+    special = written(spark, special, "dropped")
+    side = F.broadcast(special) if special.count() <= BROADCAST_ROWS else special
+    same = [c.eqNullSafe(F.col(f"key_{k}")) for k, c in zip(KEY, row_key(), strict=True)]
+    on = same[0] & same[1] & same[2]
+    rest = docs.join(side, on, "left_anti")
+    repeated = special.filter("any_kept")
+    if repeated.isEmpty():
+        return rest
+    once = docs.join(repeated, on, "inner").dropDuplicates([f"key_{k}" for k in KEY])
+    return rest.unionByName(once.select(*docs.columns))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the rows that training never sees: crc32 of the id as text, mod 5, is 0."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import documents, mapped, written
+from tessera.llm.shared import KEY, documents, mapped, row_key, written
 
 SHINGLE, SEED, BITS, NEAR = 3, 42, 64, 3
 #: Blocks of a fingerprint, and how many of them a key joins; BLOCKS - NEAR always agree.
@@ -56,14 +56,14 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp per row of ``docs``."""
+    """The key and fp per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["doc_id", "fp"])
+            found = pa.array([fingerprint(t.as_py()) for t in batch.column(3)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], found], names=[*KEY, "fp"])
 
-    return mapped(docs.selectExpr("cast(doc_id AS long) AS doc_id", "text"), run, "doc_id long, fp long")
+    return mapped(docs.select(*row_key(), "text"), run, "doc_id long, n_points long, content long, fp long")
 
 
 def masks(open_bits: int) -> list[int]:
@@ -195,13 +195,17 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id per row of ``docs`` (doc_id, text)."""
+    """Key, fp, component_id and kept per row of ``docs`` (doc_id, text); the row with the smallest id
+    of a component stays, among rows of the same id the shorter text."""
     found = written(spark, fingerprints(docs), "simhash-fingerprints")
-    nodes = written(spark, found.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), *KEY)
+    nodes = written(spark, found.groupBy("fp").agg(F.min(first).alias("first")), "simhash-nodes")
     linked = components(spark, written(spark, links(nodes.select("fp")), "simhash-links"))
-    named = nodes.join(linked, nodes.fp == linked.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return found.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = nodes.join(linked, nodes.fp == linked.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("first").alias("keeper"))
+    out = found.join(named.join(least, "root").select("fp", "keeper"), "fp")
+    kept = F.col("keeper").eqNullSafe(first)
+    return out.select(*KEY, "fp", F.col("keeper.doc_id").alias("component_id"), kept.alias("kept"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
