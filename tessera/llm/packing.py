@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import UNEVEN, WORDS, Memo, default_tokenizer
+from tessera.llm.bpe import UNEVEN, Memo, default_tokenizer
 from tessera.llm.shared import documents, mapped, written
 
 CAPACITY = 1024
@@ -37,13 +37,15 @@ CAPACITY = 1024
 END = 2
 #: Rows of the piece table that one partition of the sorted order holds.
 ROWS_A_PARTITION = 2_000_000
+#: Words whose ids a worker remembers, twice as many at most: some 40 MB.
+WORDS_KEPT = 100_000
 
 
 class Pieces(Memo):
     """Space and word to packed ids."""
 
     def __init__(self, encode):
-        super().__init__(2 * WORDS)
+        super().__init__(WORDS_KEPT)
         self.encode = encode
 
     def compute(self, piece: str) -> bytes:
