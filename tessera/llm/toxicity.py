@@ -46,6 +46,8 @@ EPOCHS, BATCH, RATE, WORD_RATE, DECAY = 4, 64, 0.01, 0.001, 1e-4
 STEM = 4
 #: Bytes that are hashed together, and words that are convolved together.
 SLICE, WORDS = 1 << 20, 1 << 16
+#: Rows of a batch that are hashed before they are scored.
+ROWS_AT_ONCE = 512
 #: Labelled rows of either kind that a language needs for a threshold of its own.
 LEAST = 10
 
@@ -136,20 +138,23 @@ def rows_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def padded(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both rows of all words with padding behind each text; starts and ends of the texts, alternating."""
+    """Both rows of all words with padding behind each text, one more at the end; starts and ends of the
+    texts, alternating."""
     sizes = np.array([len(w) for w in words])
     ends = np.cumsum(sizes + REACH) - REACH
     starts = ends - sizes
-    first = np.full(int(ends[-1]) + REACH, PAD, np.int32)
+    first = np.full(int(ends[-1]) + REACH + 1, PAD, np.int32)
     second = np.full(len(first), ROWS - 1, np.int32)
     at = np.arange(int(sizes.sum())) + np.repeat(np.arange(len(words)) * REACH, sizes)
     first[at], second[at] = rows_of(np.concatenate(words))
     return first, second, np.stack([starts, ends], 1).ravel()
 
 
-def features(words: list[np.ndarray], taps: list[list[np.ndarray]], bias: list[np.ndarray]) -> np.ndarray:
-    """Largest response of each filter in each text, at least 0."""
+def features(words: list[np.ndarray], taps: list[list[np.ndarray]], bias: list[np.ndarray], own: list[int] | None = None) -> np.ndarray:
+    """Largest response of each filter in each text, at least 0, over windows that begin at its ``own`` first words."""
     one, two, edges = padded(words)
+    if own is not None:
+        edges[1::2] = edges[::2] + own
     out, n = [], len(one) - REACH
     for w, tap, b in zip(WIDTHS, taps, bias, strict=True):
         response = tap[0][one[:n]]
@@ -158,7 +163,7 @@ def features(words: list[np.ndarray], taps: list[list[np.ndarray]], bias: list[n
             response += tap[k][one[k : n + k]]
             response += tap[k][two[k : n + k]]
         # Without a word an edge pair is empty; reduceat then returns the element there, which is taken out below.
-        top = np.maximum.reduceat(response, np.minimum(edges, n - 1), axis=0)[::2] if n > 0 else np.zeros((len(words), FILTERS))
+        top = np.maximum.reduceat(response, edges, axis=0)[::2]
         out.append(np.maximum(top + b, 0))
     result = np.concatenate(out, axis=1)
     result[edges[::2] == edges[1::2]] = 0
@@ -167,11 +172,12 @@ def features(words: list[np.ndarray], taps: list[list[np.ndarray]], bias: list[n
 
 def score_words(ids: np.ndarray, bounds: np.ndarray, model: Model, taps: list[list[np.ndarray]]) -> np.ndarray:
     """Score of each text; texts are packed into slices, and a long one is spread over several that overlap."""
-    owner, parts = [], []
+    owner, parts, own = [], [], []
     for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
         for c in range(a, max(b, a + 1), WORDS):
             owner.append(i)
             parts.append(ids[c : min(b, c + WORDS + REACH)])
+            own.append(min(b, c + WORDS) - c)
     pooled = np.zeros((len(bounds) - 1, FILTERS * len(WIDTHS)))
     at = 0
     while at < len(parts):
@@ -179,7 +185,7 @@ def score_words(ids: np.ndarray, bounds: np.ndarray, model: Model, taps: list[li
         while to < len(parts) and (to == at or size + len(parts[to]) <= WORDS):
             size += len(parts[to])
             to += 1
-        np.maximum.at(pooled, owner[at:to], features(parts[at:to], taps, model.bias))
+        np.maximum.at(pooled, owner[at:to], features(parts[at:to], taps, model.bias, own[at:to]))
         at = to
     return 1 / (1 + np.exp(-(pooled @ model.weight + model.offset)))
 
@@ -279,7 +285,7 @@ def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple[Model |
             words = [ids[a:b].tobytes() if b - a <= SAMPLE_WORDS else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *batch.columns[1:]], names=["words", "lang", "target", "doc_id"])
 
-    sample = labelled(spark, docs, sf_dir, "toxic", PER_CLASS).selectExpr("text", "lang", "target", "cast(doc_id AS long) AS doc_id")
+    sample = labelled(spark, docs.select("doc_id", "text", "lang"), sf_dir, "toxic", PER_CLASS).selectExpr("text", "lang", "target", "cast(doc_id AS long) AS doc_id")
     found = mapped(sample, run, "words binary, lang string, target int, doc_id long").filter("words IS NOT NULL")
     once = {bytes(r.words): r for r in sorted(found.collect(), key=lambda r: (r.doc_id, bytes(r.words)))}  # copies would count as evidence
     rows = list(once.values())
@@ -305,7 +311,9 @@ def scored(spark: SparkSession, docs: DataFrame, model: Model | None, limits: di
             if sent.value is None:
                 scores = np.zeros(batch.num_rows)
             else:
-                scores = score_words(*buckets(batch.column(at_text)), *sent.value)
+                texts = batch.column(at_text)
+                parts = [score_words(*buckets(texts.slice(a, ROWS_AT_ONCE)), *sent.value) for a in range(0, len(texts), ROWS_AT_ONCE)]
+                scores = np.concatenate([np.zeros(0), *parts])
             limit = np.array([limits.get(x, 0.5) for x in batch.column(at_lang).to_pylist()], float)
             columns = [*batch.columns, pa.array(scores), pa.array(limit), pa.array(scores >= limit)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
