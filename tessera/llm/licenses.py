@@ -7,7 +7,7 @@ text at which the template would start. Votes are counted by diagonal before the
 are shuffled, so a text costs one row and one for each diagonal that it touches.
 Neighbouring diagonals, at most ``GAP`` apart, merge: words that were put in or
 left out move the rest of a license text to the next diagonal. A merged span is a
-finding if it has ``COVERAGE`` of the template's pairs, and a base phrase counts
+finding if it has ``COVERAGE`` of the template's pairs, each counted once, and a base phrase counts
 where all its pairs are on one diagonal. Every vote is verified by the words
 themselves, so a hash collision cannot make a span.
 
@@ -44,7 +44,7 @@ TEMPLATES = (
     ("mpl", "subject to the terms of the mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
-K, GAP, COVERAGE = 2, 2, 0.8
+K, GAP, COVERAGE = 2, 2, 0.7
 #: What stands between words, after A-Z are lowered.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The one sign outside ASCII whose lower case is an ASCII letter by itself; it gets a stand-in of the same class.
@@ -86,16 +86,18 @@ def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
         t, (F.col("gram.hash") == F.col("t.hash")) & (F.col("gram.word") == F.col("t.a")) & (F.col("gram.next") == F.col("t.b")), "left"
     )
     keys = ["row", "doc_id", "n_words", "template", "label", "base", "pairs"]
-    diagonals = votes.groupBy(*keys, (F.col("pos") - F.col("offset")).cast("long").alias("diagonal")).agg(F.count("offset").alias("votes"))
+    diagonals = votes.groupBy(*keys, (F.col("pos") - F.col("offset")).cast("long").alias("diagonal")).agg(
+        F.count("offset").alias("votes"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("offset"))).alias("hit")
+    )
 
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(order)
     merged = diagonals.withColumn("starts", F.when(apart <= GAP, 0).otherwise(1)).withColumn("span", F.sum("starts").over(order))
     place = F.when(F.col("base") & (F.col("votes") == F.col("pairs")), F.col("diagonal"))
     spans = merged.groupBy(*keys, "span").agg(
-        F.sum("votes").alias("votes"), F.count(place).alias("places"), F.min(place).alias("first_word"), F.max(place).alias("last_word")
+        F.bit_count(F.bit_or("hit")).alias("hits"), F.count(place).alias("places"), F.min(place).alias("first_word"), F.max(place).alias("last_word")
     )
-    share = F.when(F.col("pairs").isNotNull(), F.least(F.col("votes") / F.col("pairs"), F.lit(1.0)))
+    share = F.when(F.col("pairs").isNotNull(), F.col("hits") / F.col("pairs"))
     found = F.when(F.col("base"), F.col("places") > 0).otherwise(share >= COVERAGE)
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     return spans.groupBy("row", "doc_id", "n_words").agg(
@@ -124,20 +126,20 @@ d AS (
 w AS (SELECT row, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM d),
 p AS (SELECT row, pos, word, lead(word) OVER (PARTITION BY row ORDER BY pos) AS next FROM w),
 g AS (
-  SELECT row, template, label, base, pairs, pos - place AS diagonal, count(*) AS votes
+  SELECT row, template, label, base, pairs, pos - place AS diagonal, count(*) AS votes, bit_or(1::BIGINT << place) AS hit
   FROM p JOIN t ON word = a AND next = b GROUP BY ALL),
 m AS (
   SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) <= {GAP} THEN 0 ELSE 1 END AS starts FROM g),
 s AS (SELECT *, sum(starts) OVER (PARTITION BY row, template ORDER BY diagonal) AS span FROM m),
 x AS (
-  SELECT row, template, label, base, pairs, span, sum(votes) AS votes,
+  SELECT row, template, label, base, pairs, span, bit_count(bit_or(hit)) AS hits,
          count(*) FILTER (base AND votes = pairs) AS places,
          min(diagonal) FILTER (base AND votes = pairs) AS first_word,
          max(diagonal) FILTER (base AND votes = pairs) AS last_word
   FROM s GROUP BY ALL),
 f AS (
-  SELECT *, least(votes / pairs::DOUBLE, 1.0) AS share,
-         CASE WHEN base THEN places > 0 ELSE least(votes / pairs::DOUBLE, 1.0) >= {COVERAGE} END AS found
+  SELECT *, hits / pairs::DOUBLE AS share,
+         CASE WHEN base THEN places > 0 ELSE hits / pairs::DOUBLE >= {COVERAGE} END AS found
   FROM x),
 r AS (
   SELECT row, CAST(sum(places) AS BIGINT) AS n_base, min(first_word) AS first_word, max(last_word) AS last_word,
