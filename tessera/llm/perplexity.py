@@ -166,6 +166,7 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def judged(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold, kept per row of ``docs``; ``ids`` name the trusted ones."""
+    docs = docs.select("doc_id", "lang", "text")
     ids = written(spark, ids, "trusted-ids")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     log_p = model(spark, docs.join(side, F.col("doc_id").cast("long") == F.col("trusted_id"), "left_semi"))

@@ -175,7 +175,7 @@ def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Trees | None:
             failed = pa.array([base_failed(s) for s, _ in values], pa.bool_())
             yield pa.RecordBatch.from_arrays([kept, failed, *batch.columns[1:]], names=["x", "failed", "target", "doc_id"])
 
-    sample = labelled(spark, docs, sf_dir, "quality", PER_CLASS).selectExpr("text", "target", "cast(doc_id AS long) AS doc_id")
+    sample = labelled(spark, docs.select("doc_id", "text"), sf_dir, "quality", PER_CLASS).selectExpr("text", "target", "cast(doc_id AS long) AS doc_id")
     found = mapped(sample, run, "x array<double>, failed boolean, target int, doc_id long")
     rows = sorted((r for r in found.collect() if not r.failed), key=lambda r: (r.doc_id, r.x))
     y = np.array([r.target for r in rows], float)

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.runtime import ship
+
 #: The six white-space characters of the contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -57,24 +56,6 @@ def written(spark: SparkSession, df: DataFrame, name: str, partition_by: list[st
     return spark.read.schema(df.schema).parquet(path)
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once a session; theirs need not have it installed."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="tessera-code-")) / f"{package.name}-{uuid.uuid4().hex[:8]}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for file in sorted(package.rglob("*.py")):
-            z.write(file, file.relative_to(package.parent))
-    sc.addPyFile(str(archive))
-    atexit.register(shutil.rmtree, archive.parent, ignore_errors=True)
-    _shipped.add(sc.applicationId)
-
-
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``df.mapInArrow`` with this package's code on the executors."""
     ship(df.sparkSession)
@@ -109,17 +90,17 @@ def keep_rows(spark: SparkSession, docs: DataFrame, verdicts: DataFrame) -> Data
 
     Rows with the same key are the same row repeated; one of them stays if any does.
     """
-    keys = verdicts.groupBy(*KEY).agg(F.max("kept").alias("any_kept"), F.count(F.lit(1)).alias("copies"))
-    special = keys.filter("copies > 1 OR NOT any_kept").select(*[F.col(k).alias(f"key_{k}") for k in KEY], "any_kept")
+    keys = verdicts.groupBy(*KEY).agg(F.max("kept").alias("__stays"), F.count(F.lit(1)).alias("copies"))
+    special = keys.filter("copies > 1 OR NOT __stays").select(*[F.col(k).alias(f"__{k}") for k in KEY], "__stays")
     special = written(spark, special, "dropped")
     side = F.broadcast(special) if special.count() <= BROADCAST_ROWS else special
-    same = [c.eqNullSafe(F.col(f"key_{k}")) for k, c in zip(KEY, row_key(), strict=True)]
+    same = [c.eqNullSafe(F.col(f"__{k}")) for k, c in zip(KEY, row_key(), strict=True)]
     on = same[0] & same[1] & same[2]
     rest = docs.join(side, on, "left_anti")
-    repeated = special.filter("any_kept")
+    repeated = special.filter("__stays")
     if repeated.isEmpty():
         return rest
-    once = docs.join(repeated, on, "inner").dropDuplicates([f"key_{k}" for k in KEY])
+    once = docs.join(repeated, on, "inner").dropDuplicates([f"__{k}" for k in KEY])
     return rest.unionByName(once.select(*docs.columns))
 
 
