@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows_as_sql(spark, name):
-    compare(QUERIES[name](spark, SF).toArrow(), connect(SF).execute(SQL[name]).to_arrow_table())
+    compare(QUERIES[name](spark, SF).toArrow(), connect(SF).sql(SQL[name]).to_arrow_table())
 
 
 def words(text):
