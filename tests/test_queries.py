@@ -15,7 +15,7 @@ def db():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows_as_sql(spark, db, name):
-    compare(QUERIES[name](spark, SF).toArrow(), db.execute(SQL[name]).to_arrow_table())
+    compare(QUERIES[name](spark, SF).toArrow(), db.sql(SQL[name]).to_arrow_table())
 
 
 def test_chunk_pack_keeps_its_contract(spark):
