@@ -1,27 +1,27 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over classes of UTF-8 bytes, ``ORDER`` at a time, so that it holds for
-any language and spelling and has at most ``CLASSES ** ORDER`` n-grams whatever the
-corpus. Counts come from all trusted text: each task sums its own, Spark adds them up
-in shards by n-gram, and joins the shards with the totals of their contexts and with
-the next lower order, which counts distinct left neighbours, down to single classes.
-The discounts follow from the counts of counts of each order.
-
-The joined probabilities are bounded (21 MB as a table), so documents look them up
-instead of sending their n-grams to the shards, which would shuffle several times
-the input. The threshold of a language is a quantile of the perplexities of its
-trusted texts, from all of them; beyond it a document is dropped.
+The model is over words and pairs of words (``words``); its vocabulary grows with the trusted text, and its counts and
+weights stay in shards, where the counts of the documents meet them. Below the words lies a spelling model over classes of
+UTF-8 bytes, ``ORDER`` at a time, which gives every token that was never counted a probability, in any language; white space
+is spelled only. It has at most ``CLASSES ** ORDER`` n-grams whatever the corpus and is a table of 21 MB. A byte is as likely
+as any other of its class. Counts of both come from the trusted texts but two fifths: each task sums its own, Spark adds
+them up in shards, and joins the shards with the totals of their contexts and with the next lower order, which counts
+distinct left neighbours. The discounts follow from the counts of counts of each order.
+
+Perplexity is taken over bytes, ends of tokens and the end of the text. The threshold of a language is a quantile of the
+perplexities of the trusted texts in the fifth ``fold`` = 1, which is never counted; beyond it a document is dropped. The
+held-out fifth (``fold`` = 0) is used for neither.
 
 Defined results: a null or empty text has no perplexity and is not kept; a language
-without trusted text (null included) uses the quantile over all languages; without
-any trusted text every class is as likely as any other and all texts but empty ones
-are kept. Repeated rows give repeated results; a null doc_id is never trusted; an
+without trusted text in that fifth (null included) uses the quantile over all languages; without
+any, all texts but empty ones are kept; where nothing is counted every class is as likely as any other
+and perplexity is ``CLASSES``. Repeated rows give repeated results; a null doc_id is never trusted; an
 empty table gives no rows. Texts of any length are read whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import documents, mapped, written
+from tessera.llm import words
+from tessera.llm.shared import documents, fold, mapped, written
 
 CLASSES, ORDER = 48, 4
 #: Class of the boundary before a text.
@@ -57,6 +58,8 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
+#: Logarithm of the probability of a byte within its class.
+_WITHIN = -np.log(np.maximum(np.bincount(_CLASS, minlength=CLASSES), 1))
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -110,9 +113,9 @@ def discounts(table: DataFrame) -> list[float]:
     return [min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw, strict=True)]
 
 
-def model(spark: SparkSession, texts: DataFrame) -> np.ndarray:
+def model(spark: SparkSession, texts: DataFrame, count: Callable[[DataFrame], DataFrame] = counts) -> np.ndarray:
     """Natural logarithm of the probability of each n-gram's last class after the others."""
-    orders = {ORDER: written(spark, counts(texts), "ngram-counts")}
+    orders = {ORDER: written(spark, count(texts), "ngram-counts")}
     for k in range(ORDER - 1, 0, -1):  # lower orders count the distinct classes that stand to the left
         lower = orders[k + 1].groupBy((F.col("code") % CLASSES**k).alias("code")).agg(F.count(F.lit(1)).alias("c"))
         orders[k] = written(spark, lower, "ngram-counts")
@@ -141,21 +144,72 @@ def model(spark: SparkSession, texts: DataFrame) -> np.ndarray:
     return np.log(dense).astype(np.float32)
 
 
-def scored(spark: SparkSession, docs: DataFrame, log_p: np.ndarray) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity (null for empty texts) per row of ``docs``."""
-    sent = spark.sparkContext.broadcast(log_p)  # 4 * CLASSES ** ORDER bytes
+def token_codes(piece: words.Piece) -> np.ndarray:
+    """Codes of the bytes of each token and of its end, which is START; nothing before a token counts."""
+    c = np.insert(_CLASS[piece.data], piece.end, START)
+    codes, before = c.copy(), np.ones(len(c), bool)
+    for k in range(1, ORDER):
+        back = np.zeros(len(c), np.int32)
+        back[k:] = c[:-k]
+        before &= back != START
+        codes += np.where(before, back, START) * CLASSES**k
+    return codes
+
+
+def token_counts(texts: DataFrame) -> DataFrame:
+    """code, c over the tokens of all texts (column ``text``); the end of a text is an empty token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES**ORDER, np.int64)
         for batch in batches:
-            total, size = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for codes, rows, begins in slices(batch.column(2)):
-                total[rows] += np.add.reduceat(sent.value[codes], begins, dtype=np.float64)
-                size[rows] += np.diff(np.append(begins, len(codes)))
-            found = pa.array(np.exp(-total / np.maximum(size, 1)), mask=size == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), found], names=["doc_id", "lang", "n_bytes", "perplexity"])
+            for piece, _ in words.pieces(batch.column(0)):
+                found, c = np.unique(token_codes(piece), return_counts=True)
+                total[found] += c
+                total[0] += np.count_nonzero(piece.sizes)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["code", "c"])
+
+    return mapped(texts.select("text"), run, "code long, c long").groupBy("code").agg(F.sum("c").cast("long").alias("c"))
 
-    plain = docs.selectExpr("cast(doc_id AS long) AS doc_id", "lang", "text")
-    return mapped(plain, run, "doc_id long, lang string, n_bytes long, perplexity double")
+
+def speller(spark: SparkSession, log_p: np.ndarray) -> Callable[[words.Piece], np.ndarray]:
+    """What gives the logarithm of the probability of each token of a piece by its bytes."""
+    sent = spark.sparkContext.broadcast(log_p)  # 4 * CLASSES ** ORDER bytes
+    within = _WITHIN if np.ptp(log_p) else np.zeros(CLASSES)
+
+    def spell(piece: words.Piece) -> np.ndarray:
+        if not len(piece.start):
+            return np.zeros(0)
+        codes = token_codes(piece)
+        each = sent.value[codes] + within[codes % CLASSES]
+        return np.add.reduceat(each, piece.start + np.arange(len(piece.start)))
+
+    return spell
+
+
+def scored(spark: SparkSession, docs: DataFrame, counted: DataFrame) -> DataFrame:
+    """doc_id, lang, id, n_bytes, perplexity (null for empty texts) per row of ``docs``, by the model of ``counted``."""
+    log_p = model(spark, counted, token_counts)
+    spell, end = speller(spark, log_p), float(log_p[0])
+    table, every, begin = words.weights(spark, counted, spell, end, discounts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, size, events = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for piece, first in words.pieces(batch.column(3)):
+                own = slice(first, first + piece.texts)
+                by = lambda x, p=piece: np.bincount(p.text, x, p.texts)
+                total[own] = by(spell(piece)) + end + begin + every * (by(piece.word) + 1)
+                size[own] = piece.sizes
+                events[own] = piece.sizes + by(None) + 1
+            arrays = [*batch.columns[:3], pa.array(size), pa.array(events), pa.array(total)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang", "id", "n_bytes", "events", "total"])
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("text").alias("id"), "text")
+    bare = mapped(plain, run, "doc_id long, lang string, id long, n_bytes long, events long, total double")
+    both = bare.join(words.gains(spark, plain.filter("text <> ''"), table), "id", "left")
+    perplexity = F.when(F.col("n_bytes") > 0, F.exp(-(F.col("total") + F.coalesce("gain", F.lit(0.0))) / F.col("events")))
+    return both.select("doc_id", "lang", "id", "n_bytes", perplexity.alias("perplexity"))
 
 
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,9 +223,9 @@ def judged(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "lang", "text")
     ids = written(spark, ids, "trusted-ids")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    log_p = model(spark, docs.join(side, F.col("doc_id").cast("long") == F.col("trusted_id"), "left_semi"))
-    found = written(spark, scored(spark, docs, log_p), "perplexities")
-    known = found.join(ids, found.doc_id == ids.trusted_id, "left_semi").filter("perplexity IS NOT NULL")
+    trusted = docs.join(side, F.col("doc_id").cast("long") == F.col("trusted_id"), "left_semi")
+    found = written(spark, scored(spark, docs, trusted.filter(fold(F.col("doc_id")) > 1)), "perplexities")
+    known = found.join(ids, found.doc_id == ids.trusted_id, "left_semi").filter(F.col("perplexity").isNotNull() & (fold(F.col("doc_id")) == 1))
     limit = F.percentile_approx("perplexity", QUANTILE, ACCURACY)
     by_lang = known.groupBy("lang").agg(limit.alias("own"))
     overall = known.agg(limit).first()[0]

@@ -118,6 +118,11 @@ def keep_rows(spark: SparkSession, docs: DataFrame, verdicts: DataFrame) -> Data
     return rest.unionByName(once.select(*docs.columns))
 
 
+def fold(doc_id: Column) -> Column:
+    """The fifth of the rows that an id falls in, 0 to 4: crc32 of the id as text, mod 5."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
+
+
 def held_out(doc_id: Column) -> Column:
-    """True for the fifth of the rows that training never sees: crc32 of the id as text, mod 5, is 0."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    """True for the fifth of the rows that training never sees: ``fold`` 0."""
+    return fold(doc_id) == 0
