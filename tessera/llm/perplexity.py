@@ -8,13 +8,13 @@ as any other of its class. Counts of both come from the trusted texts but two fi
 them up in shards, and joins the shards with the totals of their contexts and with the next lower order, which counts
 distinct left neighbours. The discounts follow from the counts of counts of each order.
 
-Perplexity is taken over bytes, ends of tokens and the end of the text. The threshold of a language is a quantile of the
-perplexities of the trusted texts in the fifth ``fold`` = 1, which is never counted; beyond it a document is dropped. The
-held-out fifth (``fold`` = 0) is used for neither.
+Perplexity is taken over bytes, ends of tokens and the end of the text. The threshold of a language is where labelled texts
+of the fifth ``fold`` = 1, which is never counted, part best into trusted and poor ones, each text once; beyond it a document
+is dropped. The held-out fifth (``fold`` = 0) is used for neither.
 
 Defined results: a null or empty text has no perplexity and is not kept; a language
-without trusted text in that fifth (null included) uses the quantile over all languages; without
-any, all texts but empty ones are kept; where nothing is counted every class is as likely as any other
+with fewer than ``LABELS`` texts of either label there (null included) uses the threshold over all languages;
+with fewer of these, a quantile of the trusted ones; without any, all texts but empty ones are kept; where nothing is counted every class is as likely as any other
 and perplexity is ``CLASSES``. Repeated rows give repeated results; a null doc_id is never trusted; an
 empty table gives no rows. Texts of any length are read whole.
 """
@@ -26,7 +26,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import words
@@ -35,7 +35,9 @@ from tessera.llm.shared import documents, fold, mapped, written
 CLASSES, ORDER = 48, 4
 #: Class of the boundary before a text.
 START = 0
-#: Quantile of the trusted perplexities up to which documents are kept, and the sketch's accuracy.
+#: Labelled texts of each kind, kept out of the counts, that a threshold needs; steps of a perplexity to a natural logarithm.
+LABELS, STEPS = 10, 1000
+#: With fewer labels: quantile of the trusted perplexities up to which documents are kept, and the sketch's accuracy.
 QUANTILE, ACCURACY = 0.998, 20_000
 #: Trusted ids up to which they are broadcast (8 bytes each); beyond, the texts are joined by id in a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -218,21 +220,55 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select(F.col("doc_id").cast("long").alias("trusted_id")).distinct()
 
 
-def judged(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity, threshold, kept per row of ``docs``; ``ids`` name the trusted ones."""
+def poor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return labels.filter("quality = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("poor_id")).distinct()
+
+
+def limits(rows: DataFrame) -> DataFrame:
+    """lang, own: the threshold of each language (all languages under null ``every``) from rows of lang, id, good, perplexity.
+
+    A text counts once for each label. The threshold is halfway, in logarithms, between two neighbouring perplexities, where
+    the share of good texts kept plus the share of poor ones dropped is greatest. Both labels are counted in steps of
+    ``STEPS`` to a natural logarithm, so no task holds a language's texts.
+    """
+    once = rows.groupBy("lang", "id", "good").agg(F.min("perplexity").alias("perplexity"))
+    step = F.floor(F.log("perplexity") * STEPS).alias("step")
+    by_lang = once.select(F.lit(False).alias("every"), "lang", "good", step)
+    total = once.groupBy("id", "good").agg(F.min("perplexity").alias("perplexity"))
+    both = by_lang.unionByName(total.select(F.lit(True).alias("every"), F.lit(None).cast("string").alias("lang"), "good", step))
+    bins = both.groupBy("every", "lang", "step").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("p"))
+    part = Window.partitionBy("every", "lang")
+    upto = part.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    bins = bins.select(
+        "every", "lang", "step", F.sum("g").over(part).alias("n_good"), F.sum("p").over(part).alias("n_poor"),
+        F.sum("g").over(upto).alias("kept_good"), F.sum("p").over(upto).alias("kept_poor"), F.lead("step").over(part.orderBy("step")).alias("next"),
+    ).filter(f"n_good >= {LABELS} AND n_poor >= {LABELS}")
+    gain = F.col("kept_good") / F.col("n_good") - F.col("kept_poor") / F.col("n_poor")
+    place = F.exp((F.col("step") + F.coalesce("next", F.col("step")) + 1) / (2 * STEPS))
+    return bins.groupBy("every", "lang").agg(F.max_by(place, F.struct(gain, F.col("step"))).alias("own"))
+
+
+def judged(spark: SparkSession, docs: DataFrame, ids: DataFrame, poor: DataFrame | None = None) -> DataFrame:
+    """doc_id, lang, n_bytes, perplexity, threshold, kept per row of ``docs``; ``ids`` name the trusted ones, ``poor`` the poor."""
     docs = docs.select("doc_id", "lang", "text")
     ids = written(spark, ids, "trusted-ids")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     trusted = docs.join(side, F.col("doc_id").cast("long") == F.col("trusted_id"), "left_semi")
     found = written(spark, scored(spark, docs, trusted.filter(fold(F.col("doc_id")) > 1)), "perplexities")
-    known = found.join(ids, found.doc_id == ids.trusted_id, "left_semi").filter(F.col("perplexity").isNotNull() & (fold(F.col("doc_id")) == 1))
-    limit = F.percentile_approx("perplexity", QUANTILE, ACCURACY)
-    by_lang = known.groupBy("lang").agg(limit.alias("own"))
-    overall = known.agg(limit).first()[0]
+    apart = found.filter(F.col("perplexity").isNotNull() & (fold(F.col("doc_id")) == 1))
+    known = apart.join(ids, apart.doc_id == ids.trusted_id, "left_semi").withColumn("good", F.lit(True))
+    if poor is not None:
+        known = known.unionByName(apart.join(poor, apart.doc_id == poor.poor_id, "left_semi").withColumn("good", F.lit(False)))
+    found_limits = written(spark, limits(known), "thresholds")
+    by_lang = found_limits.filter("NOT every").select("lang", "own")
+    overall = found_limits.filter("every").agg(F.first("own")).first()[0]
+    if overall is None:  # too few labels of either kind
+        overall = known.filter("good").groupBy("id").agg(F.min("perplexity").alias("perplexity")).agg(F.percentile_approx("perplexity", QUANTILE, ACCURACY)).first()[0]
     threshold = F.coalesce("own", F.lit(overall).cast("double"))
     kept = F.col("perplexity").isNotNull() & (F.col("perplexity") <= F.coalesce(threshold, F.lit(float("inf"))))
-    return found.join(by_lang, "lang", "left").select("doc_id", "lang", "n_bytes", "perplexity", threshold.alias("threshold"), kept.alias("kept"))
+    return found.join(F.broadcast(by_lang), "lang", "left").select("doc_id", "lang", "n_bytes", "perplexity", threshold.alias("threshold"), kept.alias("kept"))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(spark, documents(spark, sf_dir), trusted_ids(spark, sf_dir))
+    return judged(spark, documents(spark, sf_dir), trusted_ids(spark, sf_dir), poor_ids(spark, sf_dir))

@@ -104,3 +104,13 @@ def test_weights_grow_with_the_words(spark):
         return words.weights(spark, texts, perplexity.speller(spark, log_p), float(log_p[0]), perplexity.discounts)[0].count()
 
     assert rows(200) - rows(20) == 3 * 180  # each new word, its pair with the begin and its pair with the next word
+
+
+def test_thresholds_part_the_labels(spark):
+    """A trusted text that is repeated counts once, and the worst trusted text does not let the poor ones in."""
+    good = [(1.0 + i / 100, i) for i in range(99)] + [(90.0, 99)] * 50
+    poor = [(5.0 + i, 200 + i) for i in range(20)]
+    rows = [("en", i, True, p) for p, i in good] + [("en", i, False, p) for p, i in poor] + [("de", 500, True, 3.0)]
+    out = perplexity.limits(spark.createDataFrame(rows, "lang string, id long, good boolean, perplexity double")).collect()
+    assert {(r.every, r.lang) for r in out} == {(False, "en"), (True, None)}
+    assert all(1.98 < r.own < 5 for r in out)
