@@ -71,13 +71,25 @@ def _steps() -> frozenset[tuple[str, str]]:
     return frozenset(pairs | {(b, a) for a, b in pairs})
 
 
+def _kind(c: str) -> int:
+    """1 lower case, 2 upper case, 4 digit (each of ASCII), 0 anything else."""
+    return 0 if not c.isascii() else 1 if c.islower() else 2 if c.isupper() else 4 if c.isdigit() else 0
+
+
+#: Binary digits of a letter or digit in a span that mixes the kinds of a mask.
+MIXED = [math.log2(max(26 * (m & 1) + 26 * (m >> 1 & 1) + 10 * (m >> 2), 1)) for m in range(8)]
+
+
 def _spread(c: str) -> float:
-    """Binary digits that brute force spends on one character."""
-    if c.isdigit():
-        return math.log2(10)
-    if c.isalpha() and c.isascii():
-        return math.log2(26)
-    return math.log2(33 if c.isascii() else 1000)
+    """Binary digits that brute force spends on one character at most, in a span that mixes all kinds."""
+    return MIXED[7] if _kind(c) else math.log2(33 if c.isascii() else 1000)
+
+
+def _brute(part: str) -> float:
+    """Binary digits of brute force over the kinds that ``part`` mixes."""
+    kinds = [_kind(c) for c in part]
+    mask = functools.reduce(int.__or__, kinds, 0)
+    return sum(MIXED[mask] if k else _spread(c) for k, c in zip(kinds, part, strict=True))
 
 
 def _word(part: str) -> float | None:
@@ -108,14 +120,16 @@ def _date(part: str) -> float | None:
 
 
 def guess_bits(value: str) -> float:
-    """Least binary digits of guesses over all ways to split ``value``."""
+    """Least binary digits of guesses over all ways to split ``value``; two brute-force spans never touch."""
     n = len(value)
     keys = value.lower().translate(SHIFTED) if len(value.lower()) == n else value
-    best = [0.0] + [math.inf] * n
+    best = [0.0] + [math.inf] * n  # up to here, with a word, date, repeat or walk at the end
+    brute = [math.inf] * 8  # the same with a brute-force span at the end, by the kinds that it may mix
     step = _steps()
     for i in range(n):
-        here = best[i]
-        best[i + 1] = min(best[i + 1], here + _spread(value[i]))
+        closed, here = best[i], min(best[i], *brute)
+        kind, alone = _kind(value[i]), _spread(value[i])
+        brute = [min(closed, brute[m]) + (MIXED[m] if kind else alone) if m & kind == kind else math.inf for m in range(8)]
         # A walk goes on while keys follow each other; each turn of direction costs.
         cost, j, way = math.log2(47) + 1, i + 1, None
         while j < n and (keys[j - 1], keys[j]) in step:
@@ -137,10 +151,10 @@ def guess_bits(value: str) -> float:
             while times < 64 and value.startswith(part, i + times * size):
                 times += 1
             if times > 1 and (size > 1 or times > 2):
-                once = sum(map(_spread, part)) if size < 3 else min(sum(map(_spread, part)), _word(part) or math.inf)
+                once = _brute(part) if size < 3 else min(_brute(part), _word(part) or math.inf)
                 for k in range(3 if size == 1 else 2, times + 1):
                     best[i + k * size] = min(best[i + k * size], here + once + math.log2(k) + 1)
-    return best[n]
+    return min(best[n], *brute) if n else 0.0
 
 
 _HEX_TABLE = bytes(ord("x") if chr(b) in "0123456789abcdef" else 0 for b in range(256))
