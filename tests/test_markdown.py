@@ -75,6 +75,34 @@ def test_pieces_stay_within_the_limit(text):
     assert [p.first for p in got] == sorted(p.first for p in got)
 
 
+def test_cut_goes_back_to_the_best_mark():
+    """By the order of the marks, not by the nearest: the full stop wins over the later space."""
+    packer = md.Packer((), len, 10, 14)
+    block = md.Block("ab。cd ef gh ij kl mn", 3, 3, "prose")
+    room = 14 - len(md.BODY_LABEL)
+    got = packer.forced(block)
+    assert got[0].text == "ab。" and "".join("".join(p.text.split()) for p in got) == "".join(block.text.split())
+    assert all(len(p.text) <= room for p in got)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab 。.\n", min_size=1, max_size=80), st.integers(1, 12))
+def test_cuts_are_the_longest_that_fit(text, room):
+    """Against one character at a time."""
+    packer, rest, want = md.Packer((), len, 1, room + len(md.BODY_LABEL)), text, []
+    while rest:
+        if len(rest) <= room:
+            want.append(rest)
+            break
+        head = rest[:room]
+        marks = [m for m in md.CUT_AFTER if m in head]
+        end = head.rindex(marks[0]) + len(marks[0]) if marks else room
+        end = end if head[:end].strip() else room
+        want.append(rest[:end].rstrip() or rest[:end])
+        rest = rest[end:].lstrip()
+    assert [p.text for p in packer.forced(md.Block(text, 1, 1 + text.count("\n"), "prose"))] == want
+
+
 @pytest.mark.parametrize(
     ("first", "second", "kind"),
     [("> q", None, "quote"), ("- a", None, "list"), ("1) a", None, "list"), ("a|b", "---|---", "table"), ("a|b", "c", "prose"), ("```", None, "code")],
