@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 NAME = re.compile(r"[A-Za-z0-9_-]+")
 VERSION = re.compile(r"[0-9a-f]{64}")
@@ -32,14 +32,17 @@ class IndexContract:
     tokenizer_encoding: str = "chars-v1"
     soft_limit_tokens: int = 800
     hard_limit_tokens: int = 1200
-    bm25_tokenizer_version: str = "unicode-identifier-v1"
+    bm25_tokenizer_version: str = "nfkc-bigram-identifier-v1"
     chunker_version: str = "markdown-structure-v1"
+    point_namespace: str = "tessera:chunks"
 
     def __post_init__(self):
         for name in ("embedding_dimensions", "soft_limit_tokens", "hard_limit_tokens"):
             _whole(name, getattr(self, name))
         if self.hard_limit_tokens < self.soft_limit_tokens:
             raise ConfigError("hard_limit_tokens must not be below soft_limit_tokens")
+        if not self.point_namespace.strip():
+            raise ConfigError("point_namespace must not be blank")
         if not NAME.fullmatch(self.collection_prefix):
             raise ConfigError("collection_prefix may hold ASCII letters, digits, _ and - only")
 
@@ -77,6 +80,12 @@ class RetrievalParams:
         if self.context_tokens < self.no_expand_tokens:
             raise ConfigError("the context budget must not be below the expansion threshold")
 
+    def asked(self, top_k: int) -> RetrievalParams:
+        """The same with a request's own number of results, which is 1 to ``top_k_max``."""
+        if isinstance(top_k, bool) or not isinstance(top_k, int) or not 1 <= top_k <= self.top_k_max:
+            raise ConfigError(f"top_k must be 1 to {self.top_k_max}")
+        return replace(self, top_k=top_k)
+
 
 #: Where each parameter stands in a configuration file.
 PLACES = {

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.runtime import ship
 
+#: What an identifier is, and where one is split. Between the humps of camel case: lower or digit then upper, or before the last upper of a run.
 IDENTIFIER = r"[A-Za-z0-9]+(?:[._/-][A-Za-z0-9]+)*"
-#: Between the humps of camel case: lower or digit then upper, or before the last upper of a run.
 CAMEL = r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 #: Runs of Unicode letters and digits.
 WORD = r"[\p{L}\p{N}]+"
+#: Chinese characters, which are not separated by spaces.
+HAN = "\u3005\u3007\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f"
 MAX_MESSAGE_BYTES, MAX_QUERY_CHARS = 1000, 1000
 
 
@@ -45,26 +49,59 @@ def camel_parts(c: Column) -> Column:
     return filled(F.split(c, CAMEL))
 
 
-def search_tokens(c: Column) -> Column:
-    """Lower-case words; then each identifier whole, its segments, and their humps. Repetition counts:
+_RUN = re.compile(f"[{HAN}]+|(?:(?![{HAN}])[^\\W_])+")
+_IDENTIFIER, _HUMP, _SEPARATORS = re.compile(IDENTIFIER), re.compile(CAMEL), re.compile("[._/-]+")
+
+
+def normalised(text: str | None) -> str:
+    """Form NFKC without white space at the ends; null counts as empty."""
+    text = text or ""
+    return (text if text.isascii() else unicodedata.normalize("NFKC", text)).strip()
+
+
+def words_of(text: str) -> Iterator[str]:
+    """Runs of letters and digits; of a run of Chinese characters each two neighbours, a single one by itself."""
+    for run in _RUN.findall(text):
+        if len(run) > 1 and not run.isascii() and re.match(f"[{HAN}]", run):
+            yield from (run[i : i + 2] for i in range(len(run) - 1))
+        else:
+            yield run
+
+
+def spelled_out(identifier: str) -> list[str]:
+    """An identifier whole, then each of its segments with the humps of that segment, in lower case."""
+    out = [identifier]
+    for segment in filter(None, _SEPARATORS.split(identifier)):
+        out += [segment, *filter(None, _HUMP.split(segment))]
+    return [x.lower() for x in out]
+
+
+def search_tokens(text: str | None) -> list[str]:
+    """Lower-case words of the text in form NFKC, then its identifiers spelled out. Repetition counts:
     a plain ASCII word appears four times, in documents and queries alike."""
-    whole = identifiers(c)
-    segments = F.flatten(F.transform(whole, identifier_parts))
-    humps = F.flatten(F.transform(segments, camel_parts))
-    return F.concat(words(c), *(F.transform(x, F.lower) for x in (whole, segments, humps)))
+    plain = normalised(text)
+    return [*(w.lower() for w in words_of(plain)), *(x for i in _IDENTIFIER.findall(plain) for x in spelled_out(i))]
+
+
+def tokenised(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``column`` replaced by the array of its search tokens, as batches: Spark has neither NFKC nor bigrams."""
+    return _per_text(df, column, T.ArrayType(T.StringType()), lambda texts: pa.array([search_tokens(t) for t in texts], pa.list_(pa.string())))
 
 
 def nfkc(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with ``column`` in Unicode form NFKC and trimmed, as batches; Spark has no built-in for it."""
+    """``df`` with ``column`` in Unicode form NFKC and trimmed; null stays null."""
+    return _per_text(df, column, T.StringType(), lambda texts: pa.array([None if t is None else normalised(t) for t in texts], pa.string()))
+
+
+def _per_text(df: DataFrame, column: str, kind: T.DataType, made) -> DataFrame:
     ship(df.sparkSession)
     at = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [None if x is None else unicodedata.normalize("NFKC", x).strip() for x in batch.column(at).to_pylist()]
-            yield batch.set_column(at, column, pa.array(done, pa.string()))
+            yield batch.set_column(at, column, made(batch.column(at).to_pylist()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(run, T.StructType([T.StructField(f.name, kind) if i == at else f for i, f in enumerate(df.schema.fields)]))
 
 
 def message_error(c: Column) -> Column:

@@ -11,29 +11,26 @@ from tessera.config import DataError, IndexContract, as_dict
 from tessera.functions.ids import sha256, uuid5
 from tessera.functions.vectors import is_finite
 
-#: Fixed value: what a point's name starts with.
-POINT_NAME = "ai-chat:tech-docs:"
 
+def point_id(chunk_id: Column, namespace: str = IndexContract.point_namespace) -> Column:
+    return uuid5(F.concat(F.lit(f"{namespace}:"), chunk_id))
 
-def point_id(chunk_id: Column) -> Column:
-    return uuid5(F.concat(F.lit(POINT_NAME), chunk_id))
 
-
-def records(chunks: DataFrame) -> DataFrame:
+def records(chunks: DataFrame, namespace: str = IndexContract.point_namespace) -> DataFrame:
     """Chunks with source_path, point_id and embedding_input_hash."""
     return chunks.withColumnRenamed("path", "source_path").withColumns(
-        {"point_id": point_id(F.col("chunk_id")), "embedding_input_hash": sha256(F.col("embedding_text"))}
+        {"point_id": point_id(F.col("chunk_id"), namespace), "embedding_input_hash": sha256(F.col("embedding_text"))}
     )
 
 
 def index_version(index: DataFrame, contract: IndexContract) -> DataFrame:
     """index_version, n_records: SHA-256 over contract and records, independent of their order.
 
-    Records are hashed one by one and the hashes added up in four 64-bit lanes, so no task ever holds
+    Records are hashed one by one and the hashes added up in four lanes of 64 bits, so no task ever holds
     all of them; a version is thus not the hash of one long text.
     """
     each = F.sha2(F.concat_ws("\x1f", "source_path", "chunk_id", "embedding_input_hash"), 256)
-    lanes = [F.sum(F.conv(F.substring(each, 1 + 16 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
+    lanes = [F.sum(F.conv(F.substring(each, 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
     told = json.dumps(as_dict(contract), sort_keys=True, ensure_ascii=False)
     total = index.agg(F.count(F.lit(1)).alias("n_records"), *[F.coalesce(x, F.lit("0")).alias(f"lane{i}") for i, x in enumerate(lanes)])
     whole = F.concat_ws("\x1f", F.lit(told), F.col("n_records").cast("string"), *(f"lane{i}" for i in range(4)))

@@ -52,8 +52,7 @@ def line_roles(docs: DataFrame) -> DataFrame:
 
 def headings(lines: DataFrame) -> DataFrame:
     """path, line, level, title of the heading lines."""
-    pattern = r"^ {0,3}(#{1,6})[ \t]+(.+?)(?:[ \t]+#+[ \t]*)?$"
-    part = lambda i: F.regexp_extract("text", pattern, i)
+    part = lambda i: F.regexp_extract("text", f"^{md.HEADING.pattern}", i)
     return lines.filter("role = 'heading'").select("path", "line", F.length(part(1)).alias("level"), F.trim(part(2)).alias("title"))
 
 
@@ -108,8 +107,13 @@ def identified(pieces: DataFrame) -> DataFrame:
         .withColumn("chunk_id", stable_id("chunk", F.col("document_id"), F.col("section_id"), F.col("chunk_order"), F.col("content_hash")))
         .withColumn("embedding_text", embedding_text(path, F.col("text")))
     )
+    return linked(out).drop("section")
+
+
+def linked(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with the ids of the chunks before and after in the same section."""
     near = Window.partitionBy("document_id", "section_id").orderBy("chunk_order")
-    return out.withColumn("previous_chunk_id", F.lag("chunk_id").over(near)).withColumn("next_chunk_id", F.lead("chunk_id").over(near)).drop("section")
+    return chunks.withColumn("previous_chunk_id", F.lag("chunk_id").over(near)).withColumn("next_chunk_id", F.lead("chunk_id").over(near))
 
 
 PUBLIC = (

@@ -34,9 +34,11 @@ def picks(relevance: np.ndarray, vectors: np.ndarray, k: int, weight: float, pla
     return out
 
 
-def select(candidates: DataFrame, points: DataFrame, k: int, weight: float) -> DataFrame:
-    """``candidates``: qid, id, rrf_score, rrf_rank, relevance; ``points``: id, vector. A candidate without a
-    usable vector is an error."""
+def select(candidates: DataFrame, points: DataFrame, k: int, weight: float, unlike: bool = False) -> DataFrame:
+    """``candidates``: qid, id, rrf_score, rrf_rank, relevance; ``points``: id, vector, each id once.
+
+    A candidate without a vector is an error; with ``unlike`` it is like no other (cosine 0), as is a vector without length.
+    """
     if k <= 0 or not 0 < weight <= 1:
         raise ValueError("k must be positive and the weight above 0 and at most 1")
     ship(candidates.sparkSession)
@@ -44,9 +46,13 @@ def select(candidates: DataFrame, points: DataFrame, k: int, weight: float) -> D
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rrf_rank")
-        if group["vector"].isna().any():
+        if group["id"].duplicated().any():
+            raise DataError(f"repeated points or candidates: {group.loc[group['id'].duplicated(), 'id'].tolist()[:3]}")
+        bare = group["vector"].isna()
+        if bare.any() and not unlike:
             raise DataError(f"no vector for {group.loc[group['vector'].isna(), 'id'].tolist()[:3]}")
-        vectors = np.array(group["vector"].tolist(), float)
+        wide = max((len(v) for v in group.loc[~bare, "vector"]), default=1)
+        vectors = np.array([np.zeros(wide) if b else v for v, b in zip(group["vector"], bare, strict=True)], float)
         if not np.isfinite(vectors).all():
             raise DataError("a candidate's vector is not finite")
         chosen = picks(group["relevance"].to_numpy(), vectors, k, weight)

@@ -14,6 +14,7 @@ from tessera.functions import vectors as vx
 from tessera.functions.ids import sha256, stable_id
 from tessera.operators import accounts, bm25, context, dense, evaluation, fusion, history, indexing, markdown, mmr
 from tessera.plans import relevance, search
+from tessera.runtime import fresh_path, modified, spread
 from tessera.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,6 +157,22 @@ def camel_split(spark, sf_dir):
     return d.select("doc_id", F.size("humps").alias("n_humps"), sha256(F.array_join("humps", "\n")).alias("humps_sha256"))
 
 
+@query(
+    "cjk_tokens",
+    """
+WITH d AS (SELECT doc_id, '标题路径：' || coalesce(source, '') || '你好世界' AS text FROM documents),
+w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\p{Han}+')) AS run FROM d),
+g AS (SELECT doc_id, substr(run, CAST(i AS BIGINT), 2) AS term FROM w, range(1, 20) r(i) WHERE i < length(run))
+SELECT doc_id, term, count(*) AS n FROM g GROUP BY ALL""",
+)
+def cjk_tokens(spark, sf_dir):
+    """Pairs of Chinese characters behind a source's name in compatibility form: NFKC gives ASCII, which is left out here."""
+    wide = F.translate(F.coalesce("source", F.lit("")), "abcdefghijklmnopqrstuvwxyz", "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ")
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("标题路径："), wide, F.lit("你好世界")).alias("tokens"))
+    terms = tx.tokenised(d, "tokens").select("doc_id", F.explode("tokens").alias("term"))
+    return terms.filter(~F.col("term").rlike("[\\x00-\\x7F]")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
 BM25_SQL = f"""
 tok AS (SELECT doc_id AS id, {TOKENS_SQL} AS tokens FROM documents),
 stats AS (SELECT count(*) AS n_docs, avg(CAST(len(tokens) AS DOUBLE)) AS avgdl FROM tok),
@@ -166,14 +183,23 @@ raws AS (SELECT term, df, ln(CAST(n_docs AS DOUBLE) - df + CAST(0.5 AS DOUBLE))
 terms AS (SELECT term, df, CASE WHEN raw < 0 THEN CAST(0.25 AS DOUBLE) * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws)"""
 
 
+#: Paths of the indexes that this session has stored, by the state of the files that they were made of.
+_stored: dict[tuple, str] = {}
+
+
 def lexical(spark: SparkSession, sf_dir: str) -> bm25.Bm25Index:
-    return bm25.build(bm25.tokens(read(spark, sf_dir, "documents"), "doc_id", "text"))
+    """The index of all documents; it is stored once, and later queries load it as long as the table stays the same."""
+    state = spark.sparkContext.applicationId, modified(spark, f"{sf_dir}/documents.parquet")
+    if state not in _stored:
+        path = fresh_path(spark, "bm25")
+        bm25.build(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), path, "doc_id", "text")
+        _stored[state] = path
+    return bm25.load(spark, _stored[state])
 
 
 @query("bm25_stats", f"WITH {BM25_SQL} SELECT n_docs, round(avgdl, 6) AS avgdl FROM stats")
 def bm25_stats(spark, sf_dir):
-    found = bm25.statistics(bm25.tokens(read(spark, sf_dir, "documents"), "doc_id", "text"))
-    return found.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+    return lexical(spark, sf_dir).stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query("bm25_idf", f"WITH {BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM terms")
@@ -197,14 +223,14 @@ lexical AS (
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages as queries, with the vector of the same number."""
-    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), tx.search_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    b = tx.tokenised(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("tokens")), "tokens")
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     return b.join(e, "qid", "left")
 
 
 @query("bm25_topk", f"WITH {BM25_SQL}, {QUERIES_SQL} SELECT qid, id, round(score, 6) AS score, rank FROM lexical")
 def bm25_topk(spark, sf_dir):
-    found = bm25.top_k(bm25.scores(lexical(spark, sf_dir), asked(spark, sf_dir).select("qid", "tokens")), PARAMS.candidate_top_k)
+    found = bm25.top_k(lexical(spark, sf_dir), asked(spark, sf_dir).select("qid", "tokens"), PARAMS.candidate_top_k)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -259,15 +285,12 @@ relevant AS (
 
 
 def searchable(spark: SparkSession, sf_dir: str) -> search.Corpus:
-    """Documents that have a vector too, so every candidate can be compared."""
-    d = read(spark, sf_dir, "documents")
-    both = d.join(points(spark, sf_dir).select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return search.Corpus(points(spark, sf_dir), bm25.build(bm25.tokens(both, "doc_id", "text")))
+    """All documents and all points. Few documents have a vector; in MMR those without one are like no other."""
+    return search.Corpus(points(spark, sf_dir), lexical(spark, sf_dir))
 
 
-PAIRED_SQL = BM25_SQL.replace("FROM documents)", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))", 1)
-FUSED_SQL = f"WITH {PAIRED_SQL}, {QUERIES_SQL}, {DENSE_SQL}, {rrf_sql(PARAMS)}"
-BALANCED_SQL = f"WITH {PAIRED_SQL}, {QUERIES_SQL}, {DENSE_SQL}, {rrf_sql(BALANCED)}"
+FUSED_SQL = f"WITH RECURSIVE {BM25_SQL}, {QUERIES_SQL}, {DENSE_SQL}, {rrf_sql(PARAMS)}"
+BALANCED_SQL = f"WITH RECURSIVE {BM25_SQL}, {QUERIES_SQL}, {DENSE_SQL}, {rrf_sql(BALANCED)}"
 
 
 def fused(spark: SparkSession, sf_dir: str, params: RetrievalParams) -> DataFrame:
@@ -295,18 +318,20 @@ def rrf_normalized(spark, sf_dir):
 
 
 def mmr_sql(k: int, weight: float) -> str:
-    """The picks one after the other, each from what the earlier ones left."""
-    out = ["cand AS (SELECT r.*, CAST(e.embedding AS DOUBLE[]) AS vec FROM relevant r JOIN embeddings e ON e.vec_id = r.id)"]
-    for n in range(1, k + 1):
-        earlier = " UNION ALL ".join(f"SELECT qid, id, vec FROM pick{i}" for i in range(1, n))
-        alike = f"(SELECT max(list_cosine_similarity(c.vec, s.vec)) FROM ({earlier}) s WHERE s.qid = c.qid)" if earlier else "0.0"
-        gone = f"WHERE NOT EXISTS (SELECT 1 FROM ({earlier}) s WHERE s.qid = c.qid AND s.id = c.id)" if earlier else ""
-        scored = f"SELECT c.*, round(CAST({weight} AS DOUBLE) * relevance - (CAST(1 AS DOUBLE) - CAST({weight} AS DOUBLE)) * {alike}, 9) AS mmr_score FROM cand c {gone}"
-        out.append(
-            f"pick{n} AS (SELECT *, {n} AS mmr_rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY mmr_score DESC, rrf_rank) AS best FROM ({scored})) WHERE best = 1)"
-        )
-    out.append("cores AS (" + " UNION ALL ".join(f"SELECT qid, id, rrf_score, mmr_score, mmr_rank FROM pick{n}" for n in range(1, k + 1)) + ")")
-    return ",\n".join(out)
+    """The picks one after the other, each from what the earlier ones left; a candidate without a vector is like no other."""
+    w = f"CAST({weight} AS DOUBLE)"
+    alike = "coalesce(list_max(list_transform(p.vecs, lambda v: coalesce(list_cosine_similarity(c.vec, v), 0.0))), 0.0)"
+    return f"""
+cand AS (SELECT r.qid, r.id, r.rrf_score, r.rrf_rank, r.relevance, CAST(e.embedding AS DOUBLE[]) AS vec FROM relevant r LEFT JOIN embeddings e ON e.vec_id = r.id),
+picks AS (
+  SELECT DISTINCT qid, 0 AS n, CAST([] AS BIGINT[]) AS ids, CAST([] AS DOUBLE[][]) AS vecs, CAST(NULL AS BIGINT) AS id,
+         CAST(NULL AS DOUBLE) AS rrf_score, CAST(NULL AS DOUBLE) AS mmr_score FROM cand
+  UNION ALL
+  SELECT qid, n + 1, list_append(ids, id), list_append(vecs, vec), id, rrf_score, mmr_score
+  FROM (SELECT p.qid, p.n, p.ids, p.vecs, c.id, c.vec, c.rrf_score, c.rrf_rank, round({w} * c.relevance - (CAST(1 AS DOUBLE) - {w}) * {alike}, 9) AS mmr_score
+        FROM picks p JOIN cand c ON c.qid = p.qid AND NOT list_contains(p.ids, c.id) WHERE p.n < {k})
+  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY mmr_score DESC, rrf_rank) = 1),
+cores AS (SELECT qid, id, rrf_score, mmr_score, n AS mmr_rank FROM picks WHERE n > 0)"""
 
 
 @query(
@@ -314,7 +339,7 @@ def mmr_sql(k: int, weight: float) -> str:
     f"{BALANCED_SQL}, {mmr_sql(3, 0.7)} SELECT qid, id, round(rrf_score, 9) AS score, round(mmr_score, 6) AS mmr_score, CAST(mmr_rank AS INTEGER) AS mmr_rank FROM cores",
 )
 def mmr_select(spark, sf_dir):
-    found = mmr.select(fusion.normalised(fused(spark, sf_dir, BALANCED)), points(spark, sf_dir), 3, 0.7)
+    found = mmr.select(fusion.normalised(fused(spark, sf_dir, BALANCED)), points(spark, sf_dir), 3, 0.7, unlike=True)
     return found.withColumn("score", F.round("score", 9)).withColumn("mmr_score", F.round("mmr_score", 6))
 
 
@@ -328,7 +353,7 @@ def search_trace(spark, sf_dir):
     corpus, q = searchable(spark, sf_dir), asked(spark, sf_dir)
     near, found = search.candidates(corpus, q, PARAMS)
     both = fusion.rrf(near, found, PARAMS)
-    return search.trace(near, found, both, mmr.select(fusion.normalised(both), corpus.points, PARAMS.top_k, PARAMS.mmr_lambda))
+    return search.trace(near, found, both, mmr.select(fusion.normalised(both), corpus.points, PARAMS.top_k, PARAMS.mmr_lambda, unlike=True))
 
 
 # --- evaluation -----------------------------------------------------------------------------------
@@ -336,12 +361,15 @@ def search_trace(spark, sf_dir):
 RELEVANT_SQL = """
 qrels AS (SELECT b.item_id AS case_id, d.doc_id AS id, d.lang FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 groups AS (SELECT b.item_id AS case_id, coalesce(min_by(q.lang, q.id), 'unspecified') AS stress_type FROM benchmark b LEFT JOIN qrels q ON q.case_id = b.item_id GROUP BY 1),
+found AS (
+  SELECT 'bm25' AS mode, qid, id, rank FROM lexical
+  UNION ALL SELECT 'dense', qid, id, rank FROM dense
+  UNION ALL SELECT 'hybrid', qid, id, mmr_rank FROM cores),
+hits AS (SELECT f.mode, f.qid, min(f.rank) AS rank FROM found f JOIN qrels q ON q.case_id = f.qid AND q.id = f.id WHERE f.rank <= 10 GROUP BY ALL),
 ranks AS (
-  SELECT 'bm25' AS mode, g.case_id, g.stress_type, CAST(min(l.rank) AS INTEGER) AS rank
-  FROM groups g LEFT JOIN (SELECT l.* FROM lexical l JOIN qrels q ON q.case_id = l.qid AND q.id = l.id WHERE l.rank <= 10) l ON l.qid = g.case_id GROUP BY ALL
-  UNION ALL
-  SELECT 'dense' AS mode, g.case_id, g.stress_type, CAST(min(l.rank) AS INTEGER) AS rank
-  FROM groups g LEFT JOIN (SELECT l.* FROM dense l JOIN qrels q ON q.case_id = l.qid AND q.id = l.id WHERE l.rank <= 10) l ON l.qid = g.case_id GROUP BY ALL)"""
+  SELECT m.mode, g.case_id, g.stress_type, CAST(h.rank AS INTEGER) AS rank
+  FROM groups g CROSS JOIN (VALUES ('bm25'), ('dense'), ('hybrid')) m(mode) LEFT JOIN hits h ON h.mode = m.mode AND h.qid = g.case_id)"""
+EVALUATED_SQL = f"{FUSED_SQL}, {mmr_sql(PARAMS.top_k_max, PARAMS.mmr_lambda)}, {RELEVANT_SQL}"
 
 
 def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,20 +377,18 @@ def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     qrels = relevance.containing(d, b).select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("id"))
     first = qrels.join(d.select(F.col("doc_id").alias("id"), "lang"), "id").groupBy("case_id").agg(F.min_by("lang", "id").alias("lang"))
     groups = b.select(F.col("item_id").alias("case_id")).join(first, "case_id", "left").select("case_id", F.coalesce("lang", F.lit("unspecified")).alias("stress_type"))
-    near, found = search.candidates(search.Corpus(points(spark, sf_dir), lexical(spark, sf_dir)), asked(spark, sf_dir), PARAMS)
-    ranked = [x.select(F.lit(m).alias("mode"), F.col("qid").alias("case_id"), "id", "rank") for m, x in (("bm25", found), ("dense", near))]
-    cases = groups.select(F.explode(F.array(F.lit("bm25"), F.lit("dense"))).alias("mode"), "case_id", "stress_type")
-    return evaluation.first_ranks(ranked[0].unionByName(ranked[1]), qrels, cases, PARAMS.top_k_max)
+    found = search.ranked(searchable(spark, sf_dir), asked(spark, sf_dir), PARAMS, unlike=True)
+    return evaluation.first_ranks(found, qrels, search.cases(groups), PARAMS.top_k_max)
 
 
-@query("eval_first_rank", f"WITH {BM25_SQL}, {QUERIES_SQL}, {DENSE_SQL}, {RELEVANT_SQL} SELECT mode, case_id, stress_type, rank FROM ranks")
+@query("eval_first_rank", f"{EVALUATED_SQL} SELECT mode, case_id, stress_type, rank FROM ranks")
 def eval_first_rank(spark, sf_dir):
     return ranks(spark, sf_dir).select("mode", "case_id", "stress_type", "rank")
 
 
 @query(
     "eval_metrics_rollup",
-    f"""WITH {BM25_SQL}, {QUERIES_SQL}, {DENSE_SQL}, {RELEVANT_SQL}
+    f"""{EVALUATED_SQL}
 SELECT mode, stress_type, count(*) AS case_count,
        {", ".join(f"round(avg(CASE WHEN rank <= {c} THEN 1.0 ELSE 0.0 END), 4) AS hit_rate_{c}" for c in evaluation.CUTOFFS)},
        round(avg(CASE WHEN rank <= 10 THEN CAST(1 AS DOUBLE) / rank ELSE 0.0 END), 4) AS mrr
@@ -428,6 +454,98 @@ def section_count(spark, sf_dir):
     return markdown.blocks(composed(spark, sf_dir)).groupBy("path").agg(F.count_distinct("section").alias("n_sections"), F.count(F.lit(1)).alias("n_blocks"))
 
 
+#: A document with every kind of line; {0} and {1} are its number and language. Lines, roles and blocks below are read off it by hand.
+SAMPLE = """preamble {0}
+
+[TOC]
+
+# Top {0} #
+> quoted {1}
+> more
+
+### Deep
+- one
+* two
+1) three
+
+| a | b |
+|---|:-:|
+| 1 | {0} |
+
+```sh
+# no heading
+
+still code
+```
+tail {1}
+## Side
+~~~
+open {0}
+"""
+#: First and last line, kind, headings and text of the blocks of ``SAMPLE``.
+SAMPLE_BLOCKS = (
+    (1, 1, "prose", "", "preamble {0}"),
+    (6, 7, "quote", "Top {0}", "> quoted {1}\n> more"),
+    (10, 12, "list", "Top {0} > Deep", "- one\n* two\n1) three"),
+    (14, 16, "table", "Top {0} > Deep", "| a | b |\n|---|:-:|\n| 1 | {0} |"),
+    (18, 22, "code", "Top {0} > Deep", "```sh\n# no heading\n\nstill code\n```"),
+    (23, 23, "prose", "Top {0} > Deep", "tail {1}"),
+    (25, 26, "code", "Top {0} > Side", "~~~\nopen {0}"),
+)
+#: The same packed with 20 and 60 characters as limits: order, lines, code, headings and text.
+SAMPLE_CHUNKS = (
+    (0, 1, 1, False, "", "preamble {0}"),
+    (1, 6, 7, False, "Top {0}", "> quoted {1}\n> more"),
+    (2, 10, 12, False, "Top {0} > Deep", "- one\n* two\n1) three"),
+    (3, 14, 16, False, "Top {0} > Deep", "| a | b |\n|---|:-:|\n| 1 | {0} |"),
+    (4, 18, 22, True, "Top {0} > Deep", "```sh\n# no heading\n\nstill code\n```"),
+    (5, 23, 23, False, "Top {0} > Deep", "tail {1}"),
+    (6, 25, 26, True, "Top {0} > Side", "~~~\nopen {0}"),
+)
+
+
+def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``SAMPLE`` for each row of documents, with its number and language."""
+    d = read(spark, sf_dir, "documents")
+    text = F.replace(F.replace(F.lit(SAMPLE), F.lit("{0}"), F.col("doc_id").cast("string")), F.lit("{1}"), F.coalesce("lang", F.lit("")))
+    return d.select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), text.alias("text"))
+
+
+def _filled_sql(column: str) -> str:
+    return f"replace(replace({column}, '{{0}}', CAST(doc_id AS VARCHAR)), '{{1}}', coalesce(lang, ''))"
+
+
+def _values(rows: tuple) -> str:
+    told = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return ", ".join("(" + ", ".join(map(told, r)) + ")" for r in rows)
+
+
+def _titles(c: str = "heading_path"):
+    return F.array_join(F.transform(c, lambda h: h["text"]), " > ")
+
+
+@query(
+    "markdown_blocks",
+    f"""
+SELECT doc_id || '.md' AS path, line_start, line_end, kind, {_filled_sql("titles")} AS titles, {_filled_sql("b.text")} AS text
+FROM documents, (VALUES {_values(SAMPLE_BLOCKS)}) b(line_start, line_end, kind, titles, text)""",
+)
+def markdown_blocks(spark, sf_dir):
+    return markdown.blocks(sampled(spark, sf_dir)).select("path", "line_start", "line_end", "kind", _titles().alias("titles"), "text")
+
+
+@query(
+    "markdown_chunks",
+    f"""
+SELECT doc_id || '.md' AS path, chunk_order, line_start, line_end, has_code, {_filled_sql("titles")} AS titles, {_filled_sql("b.text")} AS text,
+       CAST(length({_filled_sql("CASE WHEN titles = '' THEN '' ELSE '标题路径：' || titles || chr(10) || chr(10) END || '正文：' || chr(10) || b.text")}) AS INTEGER) AS token_count
+FROM documents, (VALUES {_values(SAMPLE_CHUNKS)}) b(chunk_order, line_start, line_end, has_code, titles, text)""",
+)
+def markdown_chunks(spark, sf_dir):
+    found = markdown.chunks(sampled(spark, sf_dir), IndexContract(soft_limit_tokens=30, hard_limit_tokens=80))
+    return found.select("path", "chunk_order", "line_start", "line_end", "has_code", _titles().alias("titles"), "text", "token_count")
+
+
 @query("chunk_pack")
 def chunk_pack(spark, sf_dir):
     return markdown.chunks(composed(spark, sf_dir), CONTRACT).select("path", *markdown.PUBLIC)
@@ -444,7 +562,7 @@ WITH d AS (
   FROM documents),
 s AS (SELECT *, sha256(concat_ws(chr(31), 'section', document_id, 'root')) AS section_id FROM d),
 c AS (SELECT *, sha256(concat_ws(chr(31), 'chunk', document_id, section_id, '0', content_hash)) AS chunk_id FROM s),
-u AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('ai-chat:tech-docs:' || chunk_id)) AS h FROM c)
+u AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('tessera:chunks:' || chunk_id)) AS h FROM c)
 SELECT doc_id, document_id, section_id, content_hash, chunk_id,
        substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1)
        || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id
@@ -453,24 +571,24 @@ FROM u""",
 def chunk_ids(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
-    out = d.select("doc_id", stable_id("document", path).alias("document_id"), sha256(F.coalesce("text", F.lit(""))).alias("content_hash"))
-    out = out.withColumn("section_id", stable_id("section", F.col("document_id"), "root"))
-    out = out.withColumn("chunk_id", stable_id("chunk", F.col("document_id"), F.col("section_id"), "0", F.col("content_hash")))
-    return out.withColumn("point_id", indexing.point_id(F.col("chunk_id")))
+    none = F.array().cast(markdown.HEADINGS)
+    pieces = d.select("doc_id", path.alias("path"), none.alias("heading_path"), F.lit(0).alias("section"), F.lit(0).alias("chunk_order"), F.coalesce("text", F.lit("")).alias("text"))
+    return indexing.records(markdown.identified(pieces)).select("doc_id", "document_id", "section_id", "content_hash", "chunk_id", "point_id")
 
 
 _TOLD = json.dumps(as_dict(CONTRACT), sort_keys=True, ensure_ascii=False).replace("'", "''")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stand_ins(spark, sf_dir).withColumn("source_path", F.col("document_id")).withColumn("embedding_input_hash", sha256(F.col("text")))
+    named = stand_ins(spark, sf_dir).withColumn("path", F.col("document_id")).withColumn("embedding_text", F.col("text"))
+    return indexing.records(named)
 
 
 @query(
     "index_version",
     f"""WITH {CHUNKS_SQL},
 h AS (SELECT sha256(concat_ws(chr(31), document_id, chunk_id, sha256(text))) AS h FROM chunks),
-l AS (SELECT count(*) AS n_records, {", ".join(f"CAST(coalesce(sum(CAST('0x' || substr(h, {1 + 16 * i}, 15) AS BIGINT)), 0) AS VARCHAR) AS lane{i}" for i in range(4))} FROM h)
+l AS (SELECT count(*) AS n_records, {", ".join(f"CAST(coalesce(sum(CAST('0x' || substr(h, {1 + 16 * i}, 16) AS UBIGINT)), 0) AS VARCHAR) AS lane{i}" for i in range(4))} FROM h)
 SELECT sha256(concat_ws(chr(31), '{_TOLD}', CAST(n_records AS VARCHAR), lane0, lane1, lane2, lane3)) AS index_version, n_records FROM l""",
 )
 def index_version(spark, sf_dir):
@@ -496,23 +614,21 @@ SELECT chunk_id, lag(chunk_id) OVER w AS previous_chunk_id, lead(chunk_id) OVER
 FROM chunks WINDOW w AS (PARTITION BY document_id, section_id ORDER BY chunk_order)""",
 )
 def neighbors_section(spark, sf_dir):
-    from pyspark.sql import Window
-
-    near = Window.partitionBy("document_id", "section_id").orderBy("chunk_order")
-    return stand_ins(spark, sf_dir).select(
-        "chunk_id", F.lag("chunk_id").over(near).alias("previous_chunk_id"), F.lead("chunk_id").over(near).alias("next_chunk_id")
-    )
+    return markdown.linked(stand_ins(spark, sf_dir)).select("chunk_id", "previous_chunk_id", "next_chunk_id")
 
 
 @query(
     "order_continuity",
-    f"""WITH {CHUNKS_SQL}
+    f"""WITH {CHUNKS_SQL},
+more AS (SELECT * FROM chunks UNION ALL SELECT * FROM chunks WHERE section_id = 'fr' AND chunk_order = 7)
 SELECT document_id, count(*) AS n, count(DISTINCT chunk_order) AS distinct_orders, min(chunk_order) AS first, max(chunk_order) AS last
-FROM chunks WHERE NOT (section_id = 'fr' AND chunk_order = 7) GROUP BY document_id
+FROM more GROUP BY document_id
 HAVING count(*) <> count(DISTINCT chunk_order) OR min(chunk_order) <> 0 OR max(chunk_order) <> count(*) - 1""",
 )
 def order_continuity(spark, sf_dir):
-    return indexing.order_violations(stand_ins(spark, sf_dir).filter("NOT (section_id = 'fr' AND chunk_order = 7)"))
+    """All chunks, and some of them once more, which breaks the order of their documents."""
+    chunks = stand_ins(spark, sf_dir)
+    return indexing.order_violations(chunks.unionByName(chunks.filter("section_id = 'fr' AND chunk_order = 7")))
 
 
 @query(
@@ -684,6 +800,24 @@ def conversation_lookup(spark, sf_dir):
     return accounts.find(messages(spark, sf_dir), conversation_id=3, id=1)
 
 
+@query(
+    "conversation_resolve",
+    """
+WITH t AS (SELECT conv_id AS id, conv_id % 5 AS user_id, 's' || conv_id AS session_id FROM (SELECT DISTINCT conv_id FROM conversations)),
+a AS (SELECT user_id, session_id FROM t UNION ALL SELECT 7, 's' || c_custkey FROM customer WHERE c_custkey <= 50)
+SELECT a.user_id, a.session_id, t.id IS NOT NULL AS known, t.id AS known_id FROM a LEFT JOIN t USING (user_id, session_id)""",
+)
+def conversation_resolve(spark, sf_dir):
+    """Every conversation by user and session, and sessions that are new: these get rows with ids of their own."""
+    t = read(spark, sf_dir, "conversations").select("conv_id").distinct()
+    session = F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id")
+    t = t.select(F.col("conv_id").alias("id"), F.pmod("conv_id", F.lit(5)).alias("user_id"), session)
+    new = read(spark, sf_dir, "customer").filter("c_custkey <= 50").select(F.lit(7).cast("long").alias("user_id"), F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("session_id"))
+    _, found = accounts.resolve(t, t.select("user_id", "session_id").unionByName(new))
+    known = F.col("user_id") < 5
+    return found.select("user_id", "session_id", known.alias("known"), F.when(known, F.col("id")).alias("known_id"))
+
+
 @query(
     "users_insert",
     f"""WITH {USERS_SQL}

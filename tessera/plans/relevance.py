@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a passage that find its documents, and passages up to which those are broadcast.
+from tessera.runtime import spread
+
+#: Words of a passage that find its documents; passages up to which those are broadcast, and short ones looked up together.
 ANCHOR, BROADCAST_PASSAGES = 4, 100_000
 
 
@@ -25,11 +27,14 @@ def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
     anchored = items.filter(F.size("words") >= ANCHOR + 2).select("item_id", "passage", _gram("words", F.lit(1)).alias("gram"))
     words = F.split("text", " ")
     grams = F.when(F.size("words") >= ANCHOR, F.transform(F.sequence(F.lit(0), F.size("words") - ANCHOR), lambda i: _gram("words", i)))
+    docs = spread(docs)
     rolled = docs.select("doc_id", words.alias("words")).select("doc_id", F.explode(F.array_distinct(grams)).alias("gram"))
     pairs = rolled.join(small(anchored), "gram").select("doc_id", "item_id", "passage").distinct()
     found = pairs.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "passage")).select("doc_id", "item_id")
     short = items.filter(F.size("words") < ANCHOR + 2).select("item_id", "passage")
-    if short.isEmpty():
-        return found
-    plain = docs.select("doc_id", "text").join(small(short), F.contains("text", "passage")).select("doc_id", "item_id")
-    return found.unionByName(plain)
+    # A stated set: each block of it is broadcast, and the documents are read once a block.
+    blocks = -(-short.count() // BROADCAST_PASSAGES)
+    for n in range(blocks):
+        block = F.broadcast(short.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n))
+        found = found.unionByName(docs.select("doc_id", "text").join(block, F.contains("text", "passage")).select("doc_id", "item_id"))
+    return found

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.config import VERSION, ConfigError, DataError
 from tessera.operators.evaluation import cases
-from tessera.operators.indexing import ensure_empty
+from tessera.operators.indexing import ensure_empty, payload_violations
 
 CASE_SCHEMA = "case_id string, query string, target_chunk_id string, relevant_chunks array<struct<chunk_id:string>>, stress_type string"
 ENTRY_SCHEMA = "chunk_id string, tokens array<string>"
@@ -15,11 +16,23 @@ ENTRY_SCHEMA = "chunk_id string, tokens array<string>"
 
 def markdown(spark: SparkSession, root: str) -> DataFrame:
     """path (below ``root``), text of all *.md files, whole, at any depth."""
+    base = resolved(spark, root)
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
     full = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
-    base = root.split(":", 1)[-1].lstrip("/").rstrip("/") + "/"
-    inside = F.substring_index(full, base, -1)
-    return files.select(inside.alias("path"), F.col("value").alias("text"))
+    # Schemes write the authority in different ways; what counts is the path behind it.
+    plain = F.regexp_replace(full, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    inside = F.when(F.startswith(plain, F.lit(base)), F.substr(plain, F.lit(len(base) + 1)))
+    outside = F.raise_error(F.concat(F.lit(f"not inside {base}: "), plain))
+    return files.select(F.coalesce(inside, outside).alias("path"), F.col("value").alias("text"))
+
+
+def resolved(spark: SparkSession, root: str) -> str:
+    """The absolute path of an existing folder, with a slash at its end and without scheme and authority."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        raise DataError(f"there is no folder {root}")
+    return store.makeQualified(where).toUri().getPath().rstrip("/") + "/"
 
 
 def evaluation_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -58,5 +71,22 @@ def points(spark: SparkSession, path: str, version: str, *columns: str) -> DataF
     return found.select(*columns) if columns else found
 
 
-def table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def by_ids(points: DataFrame, asked: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """``points`` of the ids in ``asked`` (``key``, position), in that order; a repeated or unknown id is an error."""
+    ensure_empty(asked.groupBy(key).count().filter("count > 1"), "ids asked for twice")
+    found = asked.join(points, key, "left")
+    ensure_empty(found.groupBy(key).count().filter("count > 1"), "repeated points")
+    ensure_empty(asked.join(points, key, "left_anti").select(key), "ids without a point")
+    return found.orderBy("position")
+
+
+CHUNK = (
+    "chunk_id string, document_id string, section_id string, parent_section_id string, source_path string, chunk_order int,"
+    " heading_path array<struct<level:int,text:string,line:int>>, text string, line_start int, line_end int, token_count int, index_version string"
+)
+
+
+def typed(points: DataFrame, dimensions: int, version: str) -> DataFrame:
+    """Stored points as chunks with the types of ``CHUNK``, after the checks that a search relies on."""
+    ensure_empty(payload_violations(points, dimensions, version), "unusable points")
+    return points.select(*[F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(CHUNK)])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import DataError, IndexContract, as_dict
 from tessera.operators.indexing import ensure_count
+from tessera.runtime import remove
 
 MANIFEST_SCHEMA_VERSION, ARTIFACT_SCHEMA_VERSION = 1, 1
 
@@ -57,18 +58,34 @@ def ensure_collection(spark: SparkSession, path: str, dimensions: int) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         return False
-    first = spark.read.parquet(path).select(F.size("vector").alias("n")).first()
-    if first is not None and first.n != dimensions:
-        raise DataError(f"stored vectors have {first.n} dimensions, not {dimensions}")
+    other = spark.read.parquet(path).filter(F.size("vector") != dimensions).select("chunk_id", F.size("vector").alias("n")).first()
+    if other is not None:
+        raise DataError(f"the stored vector of {other.chunk_id} has {other.n} dimensions, not {dimensions}")
     return True
 
 
 def write_points(points: DataFrame, path: str, version: str, expected: int) -> None:
-    """Replace the partition of one version, sorted by chunk id for lookups; other versions stay."""
+    """Replace the partition of one version, sorted by chunk id for lookups; other versions stay.
+
+    The new points are counted in a place beside it first, so a version is replaced whole or not at all.
+    """
     spark = points.sparkSession
-    out = points.withColumn("index_version", F.lit(version))
-    out.sortWithinPartitions("chunk_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("index_version").parquet(path)
-    ensure_count(spark.read.parquet(path).filter(F.col("index_version") == version), expected, "points of this version")
+    points.withColumn("index_version", F.lit(version)).sortWithinPartitions("chunk_id").write.mode("overwrite").parquet(f"{path}-new-{version}")
+    new = spark.read.parquet(f"{path}-new-{version}")
+    ensure_count(new, expected, "points of this version")
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("index_version").parquet(path)
+    remove(spark, f"{path}-new-{version}")
+
+
+def upsert_points(new: DataFrame, path: str, version: str, key: str = "point_id") -> None:
+    """Points of one version with those of ``new`` put in place of theirs with the same ``key``, or added."""
+    spark = new.sparkSession
+    old = spark.read.parquet(path).filter(F.col("index_version") == version).drop("index_version")
+    once = new.dropDuplicates([key])
+    if (n := new.count()) != once.count():
+        raise DataError(f"{n} new points, but some {key} twice")
+    both = old.join(new.select(key), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+    write_points(both, path, version, both.count())
 
 
 def write_results(metrics: DataFrame, source: str, params: dict, path: str) -> None:

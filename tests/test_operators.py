@@ -10,45 +10,85 @@ from pyspark.sql import functions as F
 from tessera.config import ConfigError, DataError, IndexContract, RetrievalParams, load_yaml
 from tessera.functions import text as tx
 from tessera.functions import vectors as vx
-from tessera.operators import accounts, bm25, context, dense, evaluation, fusion, history, indexing, mmr
+from tessera.operators import accounts, bm25, context, dense, embedding, evaluation, fusion, history, indexing, mmr
 from tessera.plans import relevance, search
 from tessera.sources import readers, sinks
 
 
 def test_tokens_hold_whole_and_parts(spark):
-    (row,) = spark.createDataFrame([("runtime.Gosched goroutine_scheduler",)], "t string").select(tx.search_tokens(F.col("t")).alias("x")).collect()
+    (row,) = tx.tokenised(spark.createDataFrame([("runtime.Gosched goroutine_scheduler",)], "x string"), "x").collect()
     assert {"runtime.gosched", "runtime", "gosched", "goroutine_scheduler", "goroutine", "scheduler"} <= set(row.x)
     assert row.x.count("runtime") == 3
 
 
+def test_tokens_of_compatibility_forms_and_chinese():
+    assert tx.search_tokens(" ﬁle１ ") == ["file1"] * 4
+    assert tx.search_tokens("你好世界 a中b") == ["你好", "好世", "世界", "a", "中", "b", "a", "a", "a", "b", "b", "b"]
+    assert tx.search_tokens(None) == tx.search_tokens(" \t") == []
+
+
 def test_nfkc(spark):
     assert tx.nfkc(spark.createDataFrame([(" ﬁ１ ",), (None,)], "t string"), "t").collect()[0].t == "fi1"
 
 
-def test_bm25_against_a_plain_loop(spark):
+@pytest.mark.parametrize("shard", [1, 2, 100])
+def test_bm25_against_a_plain_loop(spark, monkeypatch, shard):
     docs = ["red fox", "red red hen", "blue owl sleeps", "fox and hen", ""]
-    index = bm25.build(spark.createDataFrame([(i, d.split()) for i, d in enumerate(docs)], "id long, tokens array<string>"))
-    found = bm25.scores(index, spark.createDataFrame([(1, ["fox", "fox", "hen", "none"])], "qid long, tokens array<string>"))
+    monkeypatch.setattr(bm25, "SHARD_DOCS", shard)
+    index = bm25.build(spark.createDataFrame([(i, d.split()) for i, d in enumerate(docs)], "id long, tokens array<string>").coalesce(1))
+    assert index.shards.count() == -(-len(docs) // shard)
+    asked = spark.createDataFrame([(1, ["fox", "fox", "hen", "none"]), (2, ["none"]), (3, [])], "qid long, tokens array<string>")
+    found = bm25.top_k(index, asked, 10)
     words = [d.split() for d in docs]
     n, avgdl = len(docs), sum(map(len, words)) / len(docs)
     df = {t: sum(t in w for w in words) for w in words for t in w}
     raw = {t: math.log(n - c + 0.5) - math.log(c + 0.5) for t, c in df.items()}
     mean = sum(raw.values()) / len(raw)
     idf = {t: r if r >= 0 else 0.25 * mean for t, r in raw.items()}
-    for r in found.collect():
-        w = words[r.id]
-        want = sum(idf[t] * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / avgdl)) for t in ("fox", "fox", "hen"))
-        assert r.score == pytest.approx(want, abs=1e-9)
-    assert [r.rank for r in bm25.top_k(found, 2).orderBy("rank").collect()] == [1, 2]
+    want = {}
+    for i, w in enumerate(words):
+        score = sum(idf[t] * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / avgdl)) for t in ("fox", "fox", "hen"))
+        if score > 0:
+            want[i] = score
+    got = {r.id: r for r in found.collect()}
+    assert {r.qid for r in got.values()} == {1} and set(got) == set(want)
+    assert all(r.score == pytest.approx(want[i], abs=1e-8) for i, r in got.items())
+    best = sorted(want, key=lambda i: (-round(want[i], 9), i))
+    assert [r.id for r in bm25.top_k(index, asked, 2).orderBy("rank").collect()] == best[:2]
+
+
+def test_bm25_ids_and_empty_index(spark):
+    nothing = bm25.build(spark.createDataFrame([], "id long, tokens array<string>"))
+    assert nothing.stats.first().n_docs == 0 and nothing.terms.isEmpty()
+    assert bm25.top_k(nothing, spark.createDataFrame([(1, ["a"])], "qid long, tokens array<string>"), 3).isEmpty()
+    for rows in ([("a",), ("a",)], [(" ",)], [(None,)]):
+        with pytest.raises(DataError):
+            bm25.ensure_ids(spark.createDataFrame(rows, "id string"), "id")
+    with pytest.raises(DataError):
+        bm25.resolve(spark.createDataFrame([(1,)], "id long"), spark.createDataFrame([(2,)], "id long"))
 
 
 def test_dense_ties_zero_and_misfits(spark):
-    points = spark.createDataFrame([(3, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 0.0]), (4, None), (5, [1.0])], "id long, vector array<double>")
+    points = spark.createDataFrame([(3, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 0.0]), (4, None)], "id long, vector array<double>")
     got = dense.top_k(points, spark.createDataFrame([(9, [1.0, 0.0]), (8, None)], "qid long, qvec array<double>"), 3).orderBy("rank").collect()
     assert [(r.qid, r.id, r.score) for r in got] == [(9, 1, 1.0), (9, 3, 1.0), (9, 2, 0.0)]
+    with pytest.raises(DataError):
+        dense.top_k(points, spark.createDataFrame([(9, [1.0])], "qid long, qvec array<double>"), 3)
+    with pytest.raises(DataError):
+        dense.top_k(points, spark.createDataFrame([(9, [1.0, 0.0]), (8, [1.0])], "qid long, qvec array<double>"), 3)
     assert dense.top_k(points.limit(0), spark.createDataFrame([(9, [1.0, 0.0])], "qid long, qvec array<double>"), 3).isEmpty()
 
 
+def test_dense_in_blocks_and_strips(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    points = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(50, 4)).tolist())], "id long, vector array<double>")
+    asked = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(20, 4)).tolist())], "qid long, qvec array<double>")
+    want = sorted(map(tuple, dense.top_k(points, asked, 3).collect()))
+    monkeypatch.setattr(dense, "BLOCK", 7)
+    monkeypatch.setattr(dense, "STRIP", 3)
+    assert sorted(map(tuple, dense.top_k(points, asked, 3).collect())) == want and len(want) == 60
+
+
 def test_cosine_of_zero_vector(spark):
     assert spark.sql("SELECT array(0D, 0D) a, array(1D, 2D) b").select(vx.cosine(F.col("a"), F.col("b"))).first()[0] == 0.0
 
@@ -71,6 +111,16 @@ def test_mmr_prefers_the_different_one(spark):
         mmr.select(None, None, 1, 0.0)
 
 
+def test_mmr_without_vectors_and_with_repeated_points(spark):
+    c = spark.createDataFrame([(1, i, 0.5, i, r) for i, r in ((1, 1.0), (2, 0.9), (3, 0.1))], "qid long, id long, rrf_score double, rrf_rank int, relevance double")
+    points = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0])], "id long, vector array<double>")
+    with pytest.raises(Exception, match="no vector"):
+        mmr.select(c, points, 2, 0.5).collect()
+    assert [r.id for r in mmr.select(c, points, 2, 0.5, unlike=True).orderBy("mmr_rank").collect()] == [1, 3]
+    with pytest.raises(Exception, match="repeated"):
+        mmr.select(c, points.unionByName(points), 2, 0.5, unlike=True).collect()
+
+
 CHUNK = "chunk_id string, document_id string, section_id string, parent_section_id string, chunk_order int, token_count int"
 
 
@@ -130,6 +180,10 @@ def test_config(tmp_path):
             RetrievalParams(**wrong)
     with pytest.raises(ConfigError):
         contract.collection("latest")
+    assert params.asked(10).top_k == 10
+    for wrong in (0, 11, True, 2.0):
+        with pytest.raises(ConfigError):
+            params.asked(wrong)
 
 
 def test_message_checks(spark):
@@ -158,6 +212,20 @@ def test_accounts(spark):
     assert {r.id: r.name for r in changed.collect()} == {1: "a", 2: None}
     assert accounts.delete(t, t.filter("id = 1"), "id").count() == 1
     assert accounts.find(t, id=None).isEmpty()
+    dated = t.withColumn("updated_at", F.lit("2020-01-01").cast("timestamp"))
+    now = F.lit("2026-01-01").cast("timestamp")
+    years = {r.id: r.updated_at.year for r in accounts.update(dated, t.filter("id = 2"), "id", now).collect()}
+    assert years == {1: 2020, 2: 2026}
+
+
+def test_conversations_by_user_and_session(spark):
+    known = spark.createDataFrame([(5, 1, "a"), (9, 2, "a")], "id long, user_id long, session_id string")
+    asked = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (3, None), (3, " ")], "user_id long, session_id string")
+    table, found = accounts.resolve(known, asked)
+    rows = found.collect()
+    assert len(rows) == 5 and table.count() == 5 and accounts.repeated(table, "id").isEmpty() and accounts.repeated(table, "user_id", "session_id").isEmpty()
+    assert [r.id for r in rows if r.user_id == 1] == [5] and len({r.id for r in rows if r.user_id == 2}) == 1 and len({r.session_id for r in rows if r.user_id == 3}) == 2
+    assert accounts.find(table, user_id=2, session_id="a").first().id == 9
 
 
 def test_containment_with_short_passages(spark):
@@ -173,6 +241,12 @@ def test_index_round_trip(spark, tmp_path):
     (tmp_path / "docs/skip.txt").write_text("no")
     docs = readers.markdown(spark, str(tmp_path / "docs"))
     assert sorted(r.path for r in docs.collect()) == ["a.md", "sub dir/b+c.md"]
+    (tmp_path / "docs/sub dir/docs").mkdir()
+    (tmp_path / "docs/sub dir/docs/a.md").write_text("x")
+    assert sorted(r.path for r in readers.markdown(spark, str(tmp_path / "docs")).collect()) == ["a.md", "sub dir/b+c.md", "sub dir/docs/a.md"]
+    (tmp_path / "docs/sub dir/docs/a.md").unlink()
+    with pytest.raises(DataError):
+        readers.markdown(spark, str(tmp_path / "nothing"))
     contract = IndexContract(embedding_dimensions=2)
     records, version = search.build(docs, contract)
     again, same = search.build(docs.repartition(3), contract)
@@ -192,14 +266,46 @@ def test_index_round_trip(spark, tmp_path):
     head = json.loads(spark.read.text(f"{out}/manifest-{version}/metadata").first().value)
     assert head["chunk_count"] == 3 and head["index_version"] == version
     assert indexing.set_difference(points, entries.limit(2), "chunk_id").count() == 1
+    ids = [r.chunk_id for r in points.select("chunk_id").collect()]
+    wanted = spark.createDataFrame([(ids[2], 0), (ids[0], 1)], "chunk_id string, position int")
+    assert [r.chunk_id for r in readers.by_ids(points, wanted).collect()] == [ids[2], ids[0]]
+    for wrong in ([("none", 0)], [(ids[0], 0), (ids[0], 1)]):
+        with pytest.raises(DataError):
+            readers.by_ids(points, spark.createDataFrame(wrong, "chunk_id string, position int"))
+    assert readers.typed(points, 2, version).schema["chunk_order"].dataType.simpleString() == "int"
+    with pytest.raises(DataError):
+        readers.typed(points, 3, version)
+    moved = points.limit(1).withColumn("vector", F.array(F.lit(7.0), F.lit(7.0))).drop("index_version")
+    sinks.upsert_points(spark.createDataFrame(moved.collect(), moved.schema), f"{out}/points", version)
+    after = readers.points(spark, f"{out}/points", version)
+    assert after.count() == 3 and after.filter("vector[0] = 7").count() == 1
+
+    lexical = bm25.build(entries.withColumnRenamed("chunk_id", "id"))
+    asked = spark.createDataFrame([(1, "alpha", [1.0, 0.0])], "qid long, query string, qvec array<double>")
+    told = search.search(after, lexical, asked, RetrievalParams(bm25_weight=1.0), 2).first()
+    assert told.qid == 1 and len(told.contexts) == 2 and any("alpha beta" in c for c in told.contexts)
+    with pytest.raises(ConfigError):
+        search.search(after, lexical, asked, RetrievalParams(), 11)
+    with pytest.raises(DataError):
+        search.search(after, lexical, asked.withColumn("query", F.lit(" ")), RetrievalParams(), 2)
+
+
+def test_embedder_in_batches(spark):
+    records = spark.createDataFrame([(f"c{i}", "x" * i) for i in range(7)], "chunk_id string, embedding_text string")
+    backwards = lambda texts: [(i, [len(t), 1.0]) for i, t in reversed(list(enumerate(texts)))]
+    got = {r.chunk_id: r.vector for r in embedding.embedded(records, backwards, 2, size=3).collect()}
+    assert got == {f"c{i}": [float(i), 1.0] for i in range(7)}
+    for wrong in ([(0, [1.0])], [(0, [1.0]), (0, [1.0])], [(0, [1.0]), (2, [1.0])], [(0, [1.0]), (1, [1.0, 2.0])]):
+        with pytest.raises(DataError):
+            embedding.in_order(wrong, 2, 1)
 
 
 def test_end_to_end_search(spark):
     docs = spark.createDataFrame([(i, f"word{i} shared") for i in range(6)], "doc_id long, text string")
     points = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(6)], "id long, vector array<double>")
-    corpus = search.Corpus(points, bm25.build(bm25.tokens(docs, "doc_id", "text")))
+    corpus = search.Corpus(points, bm25.build(docs, key="doc_id", text="text"))
     asked = spark.createDataFrame([(7, "t", [1.0, 0.0], ["word3"])], "qid long, stress_type string, qvec array<double>, tokens array<string>")
     got = search.hybrid(corpus, asked, RetrievalParams(top_k=2)).orderBy("mmr_rank").collect()
     assert len(got) == 2 and got[0].id == 0
     m = search.evaluate(corpus, asked, spark.createDataFrame([(7, 0)], "qid long, id long"), RetrievalParams())
-    assert {(r.mode, r.mrr) for r in m.filter("stress_type IS NULL").collect()} == {("dense", 1.0), ("hybrid", 1.0)}
+    assert {(r.mode, r.mrr) for r in m.filter("stress_type IS NULL").collect()} == {("bm25", 0.0), ("dense", 1.0), ("hybrid", 1.0)}
