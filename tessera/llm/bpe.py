@@ -8,9 +8,12 @@ chain. So a token whose start is further from the end than that is final, and
 ``Transducer`` emits it and forgets its bytes: memory is one block plus the
 lookahead, however long the input.
 
-The text comes in windows that end before white space, where a pre-token always
-ends. Short pre-tokens repeat a lot; ``Words`` remembers their ids up to a fixed
-number of entries.
+Every pre-token goes through a ``Transducer``; what ends it makes all of its tokens
+final. The text comes in windows that end before white space, where a pre-token always
+ends; where no white space is near, pre-tokens are found one after the other by their
+places, and a long one is fed block by block, so no window grows with the text. Short
+pre-tokens repeat a lot; ``Words`` remembers what the transducer emitted for them, up to a
+fixed number of entries.
 """
 
 from __future__ import annotations
@@ -32,8 +35,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.shared import documents, mapped
 
-#: Characters of a text that are looked at together.
-WINDOW = 1 << 16
+#: Characters of a text that are looked at together, and how far behind them white space is looked for.
+WINDOW, REACH = 1 << 16, 1 << 12
+#: Characters that are fed to a transducer at a time, at least; twice the lookahead if that is more.
+BLOCK = 1024
 #: Entries that ``Words`` keeps, and the longest pre-token among them, in characters.
 WORDS, WORD_CHARS = 250_000, 48
 NO_RULE = 1 << 30
@@ -203,24 +208,28 @@ class Memo(dict):
         return value
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    """Little-endian 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Words(Memo):
-    """Pre-token to its packed ids; what is missing goes through the transducer."""
+    """Pre-token to its packed ids, as the transducer emits them."""
 
     def __init__(self, merges: Merges):
         super().__init__(WORDS)
-        self.merges, self.block = merges, max(4096, 2 * merges.lookahead)
+        self.merges, self.block = merges, max(BLOCK, 2 * merges.lookahead)
+
+    def flow(self, text: str, a: int, b: int) -> Iterator[bytes]:
+        """Packed ids of the pre-token ``text[a:b]``, block after block."""
+        transducer = Transducer(self.merges)
+        for i in range(a, b, self.block):
+            if ids := transducer.feed(text[i : min(i + self.block, b)].encode()):
+                yield packed_ids(ids)
+        yield packed_ids(transducer.finish())
 
     def compute(self, word: str) -> bytes:
-        data = word.encode()
-        if len(data) <= self.block:
-            ids = self.merges.merge(data)
-            return struct.pack(f"<{len(ids)}I", *ids)
-        flow, out = Transducer(self.merges), bytearray()
-        for i in range(0, len(data), self.block):
-            ids = flow.feed(data[i : i + self.block])
-            out += struct.pack(f"<{len(ids)}I", *ids)
-        ids = flow.finish()
-        return bytes(out + struct.pack(f"<{len(ids)}I", *ids))
+        return b"".join(self.flow(word, 0, len(word)))
 
 
 class Pieces(Memo):
@@ -249,21 +258,29 @@ class Codec:
         """Little-endian 32-bit ids of ``text``, window after window."""
         for part in self.split.split(text) if self.split else [text]:
             if part in self.merges.special:
-                yield struct.pack("<I", self.merges.special[part])
+                yield packed_ids([self.merges.special[part]])
                 continue
             at = 0
             while at < len(part):
                 end = at + WINDOW
-                m = self.cut.search(part, end) if end < len(part) else None
-                end = m.start() if m else len(part)
-                yield self._window(part if end - at == len(part) else part[at:end])
-                at = end
+                if end >= len(part):
+                    yield self._window(part[at:])
+                    break
+                if m := self.cut.search(part, end, min(end + REACH, len(part))):
+                    yield self._window(part[at : m.start()])
+                    at = m.start()
+                    continue
+                for m in self.token.finditer(part, at):  # no white space near: one pre-token after the other
+                    yield from self.words.flow(part, *m.span()) if m.end() - m.start() > WORD_CHARS else [self.words[m[0]]]
+                    if (at := m.end()) >= end:
+                        break
 
     def _window(self, text: str) -> bytes:
         """Where white space is single spaces and line feeds between words, pre-tokens begin at
         each space, and the pieces between can be looked up whole."""
         if any(map(text.__contains__, UNEVEN)) or text[-1] in " \n":
             return b"".join(map(self.words.__getitem__, self.token.findall(text)))
+        # At most WINDOW and REACH characters are split here.
         first, *pieces = text.split(" ")
         return b"".join(map(self.words.__getitem__, self.token.findall(first))) + b"".join(map(self.pieces.__getitem__, pieces))
 

@@ -56,13 +56,38 @@ def test_stream_equals_whole(library, alphabet, step):
     assert out + flow.finish() == library.encode(text, add_special_tokens=False).ids
 
 
-def test_windows_do_not_show(library, monkeypatch):
+@pytest.mark.parametrize("alphabet", ["ab c\n 'll 12", "ab,.'s1", "a", "1", " ", "\n", "'", ",", "a,", "é漢1"])
+@pytest.mark.parametrize("reach", [0, 5, 4096])
+def test_windows_do_not_show(library, monkeypatch, alphabet, reach):
     monkeypatch.setattr(bpe, "WINDOW", 7)
+    monkeypatch.setattr(bpe, "REACH", reach)
     rng = random.Random(4)
-    text = "".join(rng.choice("ab c\n 'll 12") for _ in range(500))
+    text = "".join(rng.choice(alphabet) for _ in range(700))
     assert bpe.codec(PATH).encode(text) == packed(library.encode(text, add_special_tokens=False).ids)
 
 
+def test_every_pre_token_goes_through_the_transducer(library, monkeypatch):
+    """Short and long ones, with and without white space near; what is held stays as small as a block and the lookahead."""
+    fed, held = [], []
+
+    class Seen(bpe.Transducer):
+        def feed(self, data):
+            fed.append(data)
+            out = super().feed(data)
+            held.append(len(self.held))
+            return out
+
+    monkeypatch.setattr(bpe, "Transducer", Seen)
+    c = bpe.Codec(PATH)
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdef") for _ in range(200_000))
+    text = "one two one " + long + " three " + "," * 90_000
+    pieces = list(c.packed(text))
+    assert b"".join(pieces) == packed(library.encode(text, add_special_tokens=False).ids)
+    assert {b"one", b" two", b" one", b" three"} <= set(fed) and b"".join(d for d in fed if len(d) > 100).count(b",") == 90_000
+    assert max(map(len, pieces)) <= 4 * (bpe.WINDOW + bpe.REACH) and max(held) <= c.words.block + c.merges.lookahead + 256
+
+
 def test_memo_stays_small():
     class Doubled(bpe.Memo):
         def compute(self, key):
