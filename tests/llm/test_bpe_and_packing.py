@@ -5,6 +5,7 @@ import struct
 import zlib
 from bisect import bisect_left, insort
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -127,23 +128,60 @@ def best_fit(lengths, capacity):
     return n
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(1, 64), max_size=200))
-def test_sweep_is_best_fit_decreasing(lengths):
-    counts = {x: lengths.count(x) for x in set(lengths)}
-    place, ranks = {}, {}
-    for length, low, high, first, offset in packing.sweep(counts, 64):
-        for r in range(low, high):
-            place.setdefault(first + r - low, []).append((offset, length))
-            ranks.setdefault(length, []).append(r)
-    assert {x: sorted(r) for x, r in ranks.items()} == {x: list(range(n)) for x, n in counts.items()}
-    for parts in place.values():
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.booleans(), max_size=60), st.integers(1, 7))
+def test_sweeps_over_partitions_are_one_stack(items, parts):
+    """True is a piece. Any cut into partitions gives the matching of a stack over the whole order."""
+    stack, want = [], {}
+    for i, piece in enumerate(items):
+        if not piece:
+            stack.append(i)
+        elif stack:
+            want[i] = stack.pop()
+    got, counts, free, left = {}, {}, {}, {}
+    size = -(-len(items) // parts) if items else 1
+    for p, a in enumerate(range(0, len(items), size)):
+        mate = packing.swept(np.array(items[a : a + size], bool))
+        got |= {a + i: a + int(m) for i, m in enumerate(mate) if m >= 0}
+        free[p] = [a + i for i, x in enumerate(items[a : a + size]) if not x and i not in set(mate.tolist())]
+        left[p] = [a + i for i, x in enumerate(items[a : a + size]) if x and mate[i] < 0]
+        counts[p] = (len(left[p]), len(free[p]))
+    spans = packing.carried(counts)
+    assert len(spans) <= 2 * parts
+    for part, low, high, gap_part, gap in spans:
+        got |= {left[part][k]: free[gap_part][gap - k + low] for k in range(low, high)}
+    assert got == want
+
+
+def distributions():
+    rng = random.Random(1)
+    yield "tiny", [rng.randint(1, 9) for _ in range(900)]
+    yield "thirds", [22] * 500
+    yield "uniform", [rng.randint(1, 64) for _ in range(700)]
+    yield "middle", [rng.randint(16, 33) for _ in range(700)]
+    yield "hot", [3] * 400 + [rng.randint(1, 63) for _ in range(400)]
+    yield "one", [5]
+    yield "full", [64] * 9
+
+
+@pytest.mark.parametrize(("name", "lengths"), list(distributions()))
+@pytest.mark.parametrize("rows", [90])
+def test_rounds_are_as_good_as_best_fit(spark, monkeypatch, name, lengths, rows):
+    monkeypatch.setattr(packing, "ROWS_A_PARTITION", rows)
+    table = spark.createDataFrame([(i, i, 0, 0, x, 0) for i, x in enumerate(lengths)], "pid long, doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = packing.pack(spark, table, 64).collect()
+    assert sorted((r.doc_id, r.length) for r in out) == list(enumerate(lengths))
+    fill = {}
+    for r in out:
+        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in fill.values():
         at = 0
         for offset, length in sorted(parts):
             assert offset == at
             at += length
         assert at <= 64
-    assert len(place) == best_fit([x for x in lengths if x < 64], 64) + lengths.count(64)
+    best = best_fit([x for x in lengths if x < 64], 64) + lengths.count(64)
+    assert len(fill) <= best + 1
 
 
 def test_packing_odd_rows(spark, odd, odd_rows, none, library):
