@@ -144,9 +144,10 @@ _SWEPT = "part int, is_piece boolean, id long, size long, room long, seq long, s
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One partition of the order: pieces with seq and room of their gap, and numbers (``spare``) of gaps and pieces left over."""
-    held = pa.Table.from_batches(list(batches))
-    if not held.num_rows:
+    own = list(batches)
+    if not own:
         return
+    held = pa.Table.from_batches(own)
     is_piece = held["is_piece"].to_numpy(zero_copy_only=False).astype(bool)
     ids, room = held["id"].to_numpy(), held["room"].to_numpy(zero_copy_only=False)
     mate = swept(is_piece)
