@@ -10,9 +10,11 @@ once, and convolving is looking up and adding.
 
 Fitting takes a bounded sample of labelled rows (``PER_CLASS`` of each label, none
 of the held-out fold, none over ``SAMPLE_WORDS`` words) to the driver as bucket
-numbers. Nothing but the text enters a score. A fifth of the sample is kept from
-the fit and sets a threshold for each language, which the filter of the pipeline
-uses; ``predicted`` uses 0.5.
+numbers. All parameters start at random and learn from the labels alone, in ``STEPS``
+steps of ``BATCH`` texts each, however many texts there are. Nothing but the text enters
+a score. A fifth of the sample is kept from the fit and sets a threshold for each
+language, between the two ``LIMITS``, which the filter of the pipeline uses;
+``predicted`` uses 0.5.
 
 Defined results: a null, empty or wordless text has all features 0 and so the score
 of the bias alone; repeated rows give repeated results; null ids and languages stay
@@ -42,7 +44,9 @@ BUCKETS = 1 << BUCKET_BITS
 #: the second table follow those of the first, and then another row of padding.
 PAD, SECOND, ROWS, REACH = BUCKETS, BUCKETS + 1, 2 * BUCKETS + 2, max(WIDTHS) - 1
 PER_CLASS, SAMPLE_WORDS = 2500, 200_000
-EPOCHS, BATCH, RATE, WORD_RATE, DECAY = 4, 64, 0.01, 0.001, 1e-4
+STEPS, BATCH, RATE, WORD_RATE, DECAY = 360, 64, 0.01, 0.02, 1e-4
+#: Range of the thresholds: few labels can put the best one next to 0 or 1, where new texts would fall on the wrong side.
+LIMITS = (0.2, 0.8)
 STEM = 4
 #: Bytes that are hashed together, and words that are convolved together.
 SLICE, WORDS = 1 << 20, 1 << 16
@@ -190,38 +194,24 @@ def score_words(ids: np.ndarray, bounds: np.ndarray, model: Model, taps: list[li
     return 1 / (1 + np.exp(-(pooled @ model.weight + model.offset)))
 
 
-def _start(words: list[np.ndarray], y: np.ndarray, rng: np.random.Generator) -> Model:
-    """Small random numbers, but the first coordinate of a bucket says how much more often toxic texts hold it."""
-    seen = np.zeros((2, ROWS))
-    for w, t in zip(words, y, strict=True):
-        for rows in rows_of(w):
-            seen[int(t), np.unique(rows)] += 1
-    rate = (seen + 1) / (np.bincount(y.astype(int), minlength=2)[:, None] + 2)
-    sure = np.log(rate[1] / rate[0]) - 2 * np.sqrt((1 / (seen + 1)).sum(0))  # lower end of the log odds
-    embedding = rng.normal(0, 0.02, (ROWS, DIM))
-    embedding[:, 0] = np.clip(sure, 0, 3)
-    embedding[:PAD, 0] /= 2
+def _start(rng: np.random.Generator) -> Model:
+    """Random numbers: nothing is known of any word."""
+    embedding = rng.normal(0, 0.1, (ROWS, DIM))
     embedding[[PAD, -1]] = 0
-    filters = [rng.normal(0, 0.1, (w, DIM, FILTERS)) for w in WIDTHS]
-    filters[0][0, :, 0] = np.eye(DIM)[0]
-    weight = rng.normal(0, 0.1, FILTERS * len(WIDTHS))
-    weight[0] = 2
-    bias = [np.zeros(FILTERS) for _ in WIDTHS]
-    bias[0][0] = -2.5  # more than the row of the whole word gives
-    return Model(embedding, filters, bias, weight, -2.0)
+    filters = [rng.normal(0, 0.3, (w, DIM, FILTERS)) for w in WIDTHS]
+    return Model(embedding, filters, [np.zeros(FILTERS) for _ in WIDTHS], rng.normal(0, 0.3, FILTERS * len(WIDTHS)), 0.0)
 
 
-def fit(words: list[np.ndarray], y: np.ndarray, seed: int = 0) -> Model:
+def fit(words: list[np.ndarray], y: np.ndarray, seed: int = 0, steps: int = STEPS) -> Model:
     """Adam on the logistic loss, both labels weighted alike; through max pooling only the largest windows learn."""
     rng = np.random.default_rng(seed)
-    m = _start(words, y, rng)
+    m = _start(rng)
     params = [m.embedding, *m.filters, *m.bias, m.weight, np.array([m.offset])]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     share = np.array([0.5 / max(1, (y == t).sum()) for t in (0, 1)]) * len(y)
-    step = 0
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(words))
-        for at in range(0, len(order), BATCH):
+    step, order = 0, rng.permutation(len(words))
+    while step < steps:
+        for at in range(0, len(order), BATCH)[: steps - step]:
             rows = order[at : at + BATCH]
             one, two, edges = padded([words[r] for r in rows])
             grads = [np.zeros_like(p) for p in params]
@@ -255,6 +245,7 @@ def fit(words: list[np.ndarray], y: np.ndarray, seed: int = 0) -> Model:
                 second[j] += 0.01 * (grad**2 - second[j])
                 param -= (RATE if j else WORD_RATE) * (first[j] / (1 - 0.9**step)) / (np.sqrt(second[j] / (1 - 0.99**step)) + 1e-8)
             m.embedding[[PAD, -1]] = 0
+        order = rng.permutation(len(words))
     m.offset = float(params[-1][0])
     return m
 
@@ -272,7 +263,7 @@ def thresholds(scores: np.ndarray, y: np.ndarray, langs: list[str | None]) -> di
         f1 = 2 * hits / (np.arange(1, len(s) + 1) + t.sum())
         k = int(f1.argmax())
         below = s[order[k + 1]] if k + 1 < len(s) else 0.0
-        out[lang] = float(np.clip((s[order[k]] + below) / 2, 0.2, 0.8))
+        out[lang] = float(np.clip((s[order[k]] + below) / 2, *LIMITS))
     return out
 
 

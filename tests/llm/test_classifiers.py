@@ -42,7 +42,7 @@ def test_buckets_by_text(monkeypatch):
 def test_long_texts_are_scored_whole(monkeypatch):
     rng = np.random.default_rng(0)
     words = [rng.integers(0, 1 << 32, n, np.uint32) for n in (0, 1, 2, 3, 50, 400)]
-    m = toxicity._start(words, np.array([0, 1, 0, 1, 0, 1]), rng)
+    m = toxicity._start(rng)
     bounds = np.cumsum([0, *map(len, words)])
     whole = toxicity.score_words(np.concatenate(words), bounds, m, m.taps())
     monkeypatch.setattr(toxicity, "WORDS", 7)
@@ -52,7 +52,7 @@ def test_long_texts_are_scored_whole(monkeypatch):
 def test_table_lookup_is_the_convolution():
     rng = np.random.default_rng(1)
     words = [rng.integers(0, 1 << 32, 9, np.uint32)]
-    m = toxicity._start([*words, *words], np.array([0, 1]), rng)
+    m = toxicity._start(rng)
     one, two = toxicity.rows_of(words[0])
     x = np.vstack([m.embedding[one] + m.embedding[two], np.zeros((toxicity.REACH, toxicity.DIM))])
     want = [max(0, max((x[i : i + w] * f[:, :, j]).sum() for i in range(9)) + b[j]) for w, f, b in zip(toxicity.WIDTHS, m.filters, m.bias, strict=True) for j in range(toxicity.FILTERS)]
@@ -69,6 +69,33 @@ def test_held_out_accuracy(spark, labels_dir):
     assert out["score"].between(0, 1).all()
 
 
+def test_the_labels_are_learned_and_not_planted():
+    """Without a step, scores say nothing; with steps they do, of texts that were not seen; with labels at random they do not."""
+    rng = np.random.default_rng(3)
+    bad = rng.integers(0, 1 << 32, 6, np.uint32)
+    y = np.arange(400) % 4 == 0
+    words = [rng.integers(0, 1 << 32, 40, np.uint32) for _ in y]
+    for w, t in zip(words, y, strict=True):
+        w[rng.integers(0, 40, 3)] = rng.choice(bad) if t else w[0]
+    bounds = np.cumsum([0, *map(len, words[300:])])
+
+    def auc(labels, steps):
+        m = toxicity.fit(words[:300], labels[:300].astype(int), steps=steps)
+        s = toxicity.score_words(np.concatenate(words[300:]), bounds, m, m.taps())
+        own = y[300:]
+        return (s[own][:, None] > s[~own][None]).mean()
+
+    assert abs(auc(y, 0) - 0.5) < 0.2 and auc(y, 120) > 0.95
+    assert auc(rng.permutation(y), 120) < 0.8
+
+
+def test_thresholds_stay_in_their_range():
+    y = np.array([1] * 12 + [0] * 12)
+    low, high = (toxicity.thresholds(s, y, ["en"] * 24)["en"] for s in (np.r_[np.full(12, 0.02), np.zeros(12)], np.r_[np.ones(12), np.full(12, 0.98)]))
+    assert (low, high) == toxicity.LIMITS
+    assert toxicity.thresholds(np.zeros(24), y, ["en"] * 15 + ["de"] * 9) == {}
+
+
 def test_scores_ignore_language_and_order(spark, labels_dir, odd):
     docs = odd.select("doc_id", "text", "lang", "target", "toxic_score")
     clashing = spark.read.parquet(f"{labels_dir}/documents.parquet").withColumns({"target": F.lit(3), "sample_id": F.lit(1)})
