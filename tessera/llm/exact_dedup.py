@@ -3,15 +3,23 @@
 The key of the state is a digest of the text without white space; the state of a
 digest is the number of rows, and length, id and content locator of the row that
 stays. It lives in RocksDB on the executors' disks and in the checkpoint in shared
-storage, and never expires, so a later run with the same ``state_dir`` continues
-where this one stopped. Hits are then checked over the full bytes: for all rows of
+storage, and never expires. Hits are then checked over the full bytes: for all rows of
 a repeated digest the smallest and largest normalised text have to be the same; a
 digest for which they differ is regrouped by the text itself.
 
+With a ``state_dir`` the state is kept. Each run adds its digests to the one source of the
+stream, and its normalised texts beside it, so that a later run can check its hits against
+older rows; a locator is the number of the run and the row in it. ``group_size``, ``keep_id``
+and ``kept`` then speak of all rows so far: a row of this run is kept if none so far is better,
+and it may be better than one that an earlier run kept. Runs on one state follow each other;
+they are not run at once. Without a ``state_dir`` texts are read from ``docs`` again, which has
+to give the same rows then, as a table does.
+
 Only digests pass through the shuffle of the stream. Texts are shuffled for
-repeated digests alone (a bitmap of fixed size, broadcast, keeps the rest out),
-and are combined before that shuffle, so that a group that holds a third of all
-rows costs one row a task.
+repeated digests alone (a broadcast bitmap, with ``BITS_EACH`` bits for each of them but
+at most ``MOST_BITS``, keeps most others out; where it is too small more texts pass, with
+the same results), and are combined before that shuffle, so that a group that holds a third
+of all rows costs one row a task.
 
 Defined results: a null text counts as empty; all texts without a visible
 character form one group. Repeated ``doc_id``s are different rows, and exactly one
@@ -27,10 +35,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import KEY, documents, fresh_path, row_key, stripped, written
+from tessera.llm.shared import KEY, documents, exists, fresh_path, row_key, stripped, written
 
-#: Bits of the broadcast bitmap, as rows of 32,768: 8 MB whatever the size of the corpus.
-BITMAP_BITS = 1 << 26
+#: Bits of the broadcast bitmap for each repeated digest, and at least and at most: 32 KB to 32 MB, as rows of 32,768 bits.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 18, 1 << 28
 ROW_BITS = 32_768
 
 #: State on disk, with a bounded share of memory for all partitions of an executor together.
@@ -48,19 +56,24 @@ def sha256(norm: Column) -> Column:
     return F.unhex(F.sha2(norm.cast("binary"), 256))
 
 
-def digests(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    """One narrow row per row of ``docs``; ``row`` tells repeated ids apart and locates the content."""
-    norm = stripped(F.col("text"))
-    return docs.select(F.monotonically_increasing_id().alias("row"), *row_key(), digest(norm).alias("digest"))
+def digests(docs: DataFrame, digest: Callable[[Column], Column], run: int = 0) -> DataFrame:
+    """One row per row of ``docs`` with its normalised text; ``run`` and ``row`` tell repeated ids apart and locate the content."""
+    norm = docs.select(F.lit(run).alias("run"), F.monotonically_increasing_id().alias("row"), *row_key(), stripped(F.col("text")).alias("norm"))
+    return norm.withColumn("digest", digest(F.col("norm")))
+
+
+NARROW = ["run", "row", *KEY, "digest"]
+#: What locates a row.
+PLACE = ["run", "row"]
 
 
 def best() -> Column:
     """The largest is the row that stays: most code points, then smallest id, then first row."""
-    return F.struct("n_points", (-F.col("doc_id")).alias("neg_id"), (-F.col("row")).alias("neg_row"))
+    return F.struct("n_points", (-F.col("doc_id")).alias("neg_id"), (-F.col("run")).alias("neg_run"), (-F.col("row")).alias("neg_row"))
 
 
 def run_stream(spark: SparkSession, table: str, schema: T.StructType, state_dir: str) -> DataFrame:
-    """Feed all new files of ``table`` to the keyed state; return the state: digest, n, best."""
+    """Feed all new files of ``table`` to the keyed state at ``state_dir``; return the state: digest, n, best."""
     before = {k: spark.conf.get(k, None) for k in STATE_CONF}
     try:
         for k, v in STATE_CONF.items():
@@ -79,19 +92,16 @@ def run_stream(spark: SparkSession, table: str, schema: T.StructType, state_dir:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _bit(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(BITMAP_BITS))
-
-
-def repeated_texts(docs: DataFrame, repeated: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    """digest, norm of every row whose digest is in ``repeated``; other texts stop before the shuffle."""
-    bit = _bit(F.col("digest"))
+def repeated_texts(texts: DataFrame, repeated: DataFrame) -> DataFrame:
+    """digest, norm of every row of ``texts`` whose digest is in ``repeated``, and few others; the rest stop before the shuffle."""
+    bits = min(max(BITS_EACH * repeated.count(), LEAST_BITS), MOST_BITS)
+    bit = F.pmod(F.xxhash64("digest"), F.lit(bits))
     bitmap = repeated.groupBy(F.floor(bit / ROW_BITS).alias("word")).agg(F.bitmap_construct_agg((bit % ROW_BITS).cast("int")).alias("bits"))
-    norm = docs.select(stripped(F.col("text")).alias("norm")).withColumn("digest", digest(F.col("norm")))
     at = (F.col("bit") % ROW_BITS).cast("int")
     byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     near = (
-        norm.withColumn("bit", _bit(F.col("digest")))
+        texts.select("digest", "norm")
+        .withColumn("bit", bit)
         .withColumn("word", F.floor(F.col("bit") / ROW_BITS))
         .join(F.broadcast(bitmap), "word")
         .filter(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), at % 8)) != 0)
@@ -106,45 +116,48 @@ def exact_dedup(
 
     ``digest`` maps the normalised text to the key of the state; a weak one costs time, not correctness.
     """
-    table = fresh_path(spark, "dedup-digests")
-    narrow = digests(docs, digest)
-    narrow.write.parquet(table)
-    rows = spark.read.schema(narrow.schema).parquet(table)
-    state = run_stream(spark, table, narrow.schema, state_dir or fresh_path(spark, "dedup-checkpoint"))
+    folder = state_dir or fresh_path(spark, "dedup")
+    table, run = f"{folder}/digests", 0
+    schema = digests(docs, digest).select(*NARROW).schema
+    if state_dir and exists(spark, table):
+        run = spark.read.schema(schema).parquet(table).agg(F.coalesce(F.max("run") + 1, F.lit(0))).first()[0]
+    texts = own = digests(docs, digest, run)
+    if state_dir:
+        own.write.mode("append").parquet(f"{folder}/texts")
+        texts = spark.read.schema(own.schema).parquet(f"{folder}/texts")
+        own = texts.filter(F.col("run") == run)
+    own.select(*NARROW).write.mode("append").parquet(table)
+    rows = spark.read.schema(schema).parquet(table).filter(F.col("run") == run)
+    state = run_stream(spark, table, schema, f"{folder}/checkpoint")
 
     repeated = state.filter("n > 1").select("digest")
-    texts = repeated_texts(docs, repeated, digest)
-    ends = texts.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
-    collided = written(spark, ends.filter("low <> high").select("digest"), "dedup-collided")
+    if run:  # hits of this run; those among older rows were checked then
+        repeated = written(spark, repeated.join(rows, "digest", "left_semi"), "dedup-repeated")
+    ends = repeated_texts(texts, repeated).groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    collided = written(spark, ends.filter("low <> high").select("digest").join(repeated, "digest", "left_semi"), "dedup-collided")
 
-    groups = state.select("digest", "n", "best")
-    out = rows.join(groups, "digest")
+    out = rows.join(state.select("digest", "n", "best"), "digest")
     if collided.isEmpty():
         return _result(out)
-    return _result(out.join(collided, "digest", "left_anti")).unionByName(_regrouped(docs, rows, collided, digest))
+    # The rows of digests that different texts share, grouped by the text itself.
+    wide = texts.join(collided, "digest", "left_semi")
+    groups = wide.groupBy("norm").agg(F.count(F.lit(1)).alias("n"), F.max(best()).alias("best"))
+    regrouped = wide.filter(F.col("run") == run).join(groups, "norm")
+    return _result(out.join(collided, "digest", "left_anti")).unionByName(_result(regrouped))
 
 
 def _result(out: DataFrame) -> DataFrame:
+    same = [(-F.col(p)).eqNullSafe(F.col(f"best.neg_{p}")) for p in PLACE]
     return out.select(
         "row",
         *KEY,
         (-F.col("best.neg_id")).alias("keep_id"),
         F.col("n").alias("group_size"),
-        (-F.col("row")).eqNullSafe(F.col("best.neg_row")).alias("kept"),
+        (same[0] & same[1]).alias("kept"),
         "digest",
     )
 
 
-def _regrouped(docs: DataFrame, rows: DataFrame, collided: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    """The rows of digests that different texts share, grouped by the text itself."""
-    norm = stripped(F.col("text"))
-    wide = docs.select(
-        *row_key(), norm.alias("norm"), digest(norm).alias("digest"), F.monotonically_increasing_id().alias("row")
-    ).join(collided, "digest", "left_semi")
-    groups = wide.groupBy("norm").agg(F.count(F.lit(1)).alias("n"), F.max(best()).alias("best"))
-    return _result(wide.join(groups, "norm"))
-
-
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(spark, documents(spark, sf_dir))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,48 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.runtime import ship
+from tessera.runtime import fresh_path, shared_dir, ship, spread, written
+
+__all__ = ["fresh_path", "shared_dir", "written"]
 
 #: The six white-space characters of the contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
-    conf = spark.sparkContext.getConf()
-    path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='tessera-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder. A session that has ended leaves it."""
-    if spark.sparkContext._jsc is None:
-        return
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception as gone:  # the JVM may already be down when the interpreter exits
-        print(f"could not remove {path}: {type(gone).__name__}")
-
-
-def written(spark: SparkSession, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, lost executors cost no rework."""
-    path = fresh_path(spark, name)
-    out = df.write
-    if partition_by:
-        out = out.partitionBy(*partition_by)
-    out.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def release() -> None:
@@ -77,7 +43,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def stripped(text: Column) -> Column:
@@ -102,7 +68,8 @@ def row_key() -> list[Column]:
 def keep_rows(spark: SparkSession, docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``verdicts`` (KEY and kept, a row for each row of ``docs``) keep, all columns.
 
-    Rows with the same key are the same row repeated; one of them stays if any does.
+    Rows with the same key are the same row repeated, as far as operators can tell; one of them stays if any does: the one
+    with the smallest hash of all its columns.
     """
     keys = verdicts.groupBy(*KEY).agg(F.max("kept").alias("__stays"), F.count(F.lit(1)).alias("copies"))
     special = keys.filter("copies > 1 OR NOT __stays").select(*[F.col(k).alias(f"__{k}") for k in KEY], "__stays")
@@ -114,8 +81,9 @@ def keep_rows(spark: SparkSession, docs: DataFrame, verdicts: DataFrame) -> Data
     repeated = special.filter("__stays")
     if repeated.isEmpty():
         return rest
-    once = docs.join(repeated, on, "inner").dropDuplicates([f"__{k}" for k in KEY])
-    return rest.unionByName(once.select(*docs.columns))
+    both = docs.join(repeated, on, "inner")
+    first = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row")
+    return rest.unionByName(both.groupBy(*[f"__{k}" for k in KEY]).agg(first).select("__row.*"))
 
 
 def fold(doc_id: Column) -> Column:
