@@ -83,15 +83,15 @@ def test_patterns(parts):
     assert [s for s in secrets.spans(text) if s[1] < 3] == base(text)
 
 
-def test_scan_odd_rows(odd, odd_rows, none):
-    got = sorted(map(tuple, secrets.scan(odd).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect()), key=repr)
+def test_scan_odd_rows(spark, odd, odd_rows, none):
+    got = sorted(map(tuple, secrets.scan(spark, odd).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect()), key=repr)
     want = []
     for i, t, *_ in odd_rows:
         b = base(t)
         told = ",".join(f"{secrets.KINDS[k]}:{a}:{z}" for a, k, z in b)
         want.append((i, *(sum(s[1] == k for s in b) for k in range(3)), hashlib.sha256(told.encode()).hexdigest()))
     assert got == sorted(want, key=repr)
-    assert secrets.scan(none).isEmpty() and secrets.redact(none).isEmpty()
+    assert secrets.scan(spark, none).isEmpty() and secrets.redact(spark, none).isEmpty()
 
 
 @pytest.mark.parametrize("weak", ["changeme", "password123", "aaaaaaaaaaaa", "qwertyuiop", "2023-01-05", "<token>", "yourpassword", "abcabcabcabc"])
@@ -127,14 +127,80 @@ def test_redaction(spark, odd):
     assert secrets.redact_text(text) == 'a [SECRET]" b [SECRET] c'
     assert secrets.redact_text(None) is None and secrets.redact_text("clean") == "clean"
     df = spark.createDataFrame([(1, text, 5), (2, "clean", 99), (3, None, None)], "doc_id long, text string, n_chars long")
-    assert {r.doc_id: r.n_chars for r in secrets.redact(df, "n_chars").collect()} == {1: len(secrets.redact_text(text)), 2: 99, 3: None}
-    out = secrets.redact(odd, "n_chars")
+    assert {r.doc_id: r.n_chars for r in secrets.redact(spark, df, "n_chars").collect()} == {1: len(secrets.redact_text(text)), 2: 99, 3: None}
+    out = secrets.redact(spark, odd, "n_chars")
     assert out.columns == odd.columns and out.count() == odd.count()
 
 
-def test_long_value_takes_linear_time():
+RANKS = secrets.Ranks.of({"house": 90, "understanding": 7, "people": 50, "aba": 3, "überall": 2, "rare": 1})
+
+
+def by_enumeration(value, ranks):
+    """All splits into segments, each by all costs that it may have; brute-force spans do not touch."""
+    n = len(value)
+    keys = value.lower().translate(secrets.SHIFTED)
+
+    def costs(i, j):
+        part = value[i:j]
+        yield secrets._brute(part), True
+        if len(part) >= 3 and (w := secrets._word(part, ranks)) is not None and len(part) <= secrets.LONGEST:
+            yield w + 1, False
+        if (d := secrets._date(part)) is not None:
+            yield d + 1, False
+        for end, c in secrets._walks(keys, i):
+            if end == j:
+                yield c, False
+        for size in range(1, len(part) // 2 + 1):
+            times = len(part) // size
+            if part == part[:size] * times and len(part) % size == 0 and (size > 1 or times > 2):
+                yield secrets._once(part[:size], ranks) + np.log2(times) + 1, False
+
+    def least(i, after_brute):
+        if i == n:
+            return 0.0
+        return min((c + least(j, b) for j in range(i + 1, n + 1) for c, b in costs(i, j) if not (b and after_brute)), default=np.inf)
+
+    return least(0, False)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.one_of(st.text(alphabet="ab1!qwÜ", min_size=1, max_size=9), st.lists(st.sampled_from(["house", "aba", "qwe", "2024", "xx", "A", "7"]), min_size=1, max_size=4).map(lambda x: "".join(x)[:11])))
+def test_cost_is_the_least_of_all_splits(value):
+    want = by_enumeration(value, RANKS)
+    assert secrets.guess_bits(value, RANKS) == pytest.approx(want)
+    for limit in (10.0, 20.0, 36.0):
+        got = secrets.guess_bits(value, RANKS, limit)
+        assert got == pytest.approx(want) if want < limit - 1e-9 else got == np.inf or want == pytest.approx(limit)
+
+
+@pytest.mark.parametrize("text", ["The secret is understanding people.", "pass: understanding", "Our password is peopleHouse", "token: " + "x" * 400, "secret is " + "abcdefghijklmnopqrstuvwxyz" * 3, "pwd: überall"])
+def test_prose_and_placeholders_stay(text):
+    assert secrets.guess_bits(text.split(" ")[-1], RANKS) < secrets.GUESS_BITS
+    assert not [s for s in secrets.spans(text, RANKS) if s[1] == 3]
+
+
+def test_dictionary_is_counted_over_the_corpus(spark, none):
+    rows = [("House house HOUSE, people",), ("people password=qwkzptrv pwd: zzyyxxw",), (None,), ("ab house überall",)]
+    docs = spark.createDataFrame(rows, "text string")
+    ranks = secrets.dictionary(spark, docs)
+    assert ranks.of_word("house") < ranks.of_word("people") < ranks.of_word("überall")
+    assert ranks.of_word("qwkzptrv") is None and ranks.of_word("zzyyxxw") is None and ranks.of_word("ab") is None
+    assert ranks.of_word("password") == 1
+    few = secrets.dictionary(spark, docs, 2)
+    assert few.of_word("house") and few.of_word("people") and few.of_word("überall") is None
+    assert not secrets.dictionary(spark, none.select("text")).hashes
+
+
+def test_long_values_end_soon():
     import time
 
     began = time.process_time()
-    secrets.guess_bits("ab!" * 4000 + "a" * 4000)
+    assert secrets.guess_bits("x" * 50_000, RANKS, secrets.GUESS_BITS) < 36
+    assert secrets.guess_bits("abcXYZ12" * 20_000, RANKS, secrets.GUESS_BITS) == np.inf
+    assert secrets.guess_bits("".join(chr(33 + i * 7919 % 90) for i in range(200_000)), RANKS, secrets.GUESS_BITS) == np.inf
     assert time.process_time() - began < 30
+
+
+def test_stretches_with_a_period():
+    for text, i, size, want in (("xxxxx", 0, 1, 5), ("ababax", 0, 2, 5), ("x" * 5000 + "y", 3, 1, 5000), ("ab" * 3000, 1, 2, 6000), ("abab", 0, 2, 4), ("aab", 0, 1, 2)):
+        assert secrets._stop(text, i, size) == want

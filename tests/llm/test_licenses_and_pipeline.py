@@ -94,7 +94,8 @@ def test_pipeline_against_its_stages_by_hand(spark, labels_dir, tmp_path):
             assert len(ids) == len(groups)
         if name == "secret_scans":
             assert sorted(ids, key=repr) == sorted((r.doc_id for r in before.collect()), key=repr)
-            assert not any(secrets.spans(r.text) for r in kept.collect())
+            ranks = secrets.dictionary(spark, before)
+            assert not any(secrets.spans(r.text, ranks) for r in kept.collect())
     assert kept.select("doc_id").distinct().count() == len(set(ids)) and kept.filter("offset + length > 1024").isEmpty()
     whole = corpus_pipeline.run(spark, str(folder))
     assert whole.count() == kept.count() and whole.select("sequence_id").distinct().count() == kept.select("sequence_id").distinct().count()
