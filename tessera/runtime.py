@@ -66,10 +66,25 @@ def written(spark: SparkSession, df: DataFrame, name: str, partition_by: list[st
     out = df.write
     if partition_by:
         out = out.partitionBy(*partition_by)
-    out.parquet(path)
+    # What the plan shuffled is of no use once the table stands, and need not wait for the driver's garbage collection.
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        out.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``written`` returned, when nothing reads it any more."""
+    folders = {file.rsplit("/", 1)[0] for file in table.inputFiles()}
+    for folder in folders:
+        remove(table.sparkSession, folder)
+
+
+#: Whether shuffle files go when the query that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of an input, as Spark estimates them, up to which ``spread`` deals its rows anew.
 SMALL_INPUT = 48 << 20
 
