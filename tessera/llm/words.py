@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import mapped, written
+from tessera.runtime import discard
 
 #: Bytes and texts whose counts are put together before they are sent; a longer text is one piece.
 CHUNK, CHUNK_TEXTS = 8 << 20, 60_000
@@ -138,7 +139,7 @@ def spelled(texts: DataFrame, spell) -> DataFrame:
 
 
 def weights(spark: SparkSession, texts: DataFrame, spell, end: float, discounts) -> tuple[DataFrame, float, float]:
-    """key, weight of all words and pairs; the logarithms that every token (a) and every text (b of BEGIN) has besides.
+    """shard, key, weight of all words and pairs, written; the logarithms that every token (a) and every text (b of BEGIN) has besides.
 
     ``spell`` and ``end``: the logarithms that a piece's tokens and the end of a text have below the counts.
     """
@@ -152,7 +153,7 @@ def weights(spark: SparkSession, texts: DataFrame, spell, end: float, discounts)
     one, two = cut(discounts(below)), cut(discounts(pairs))
     total, mass = below.agg(F.sum("c"), F.sum(one)).first()
     if not total:
-        return spark.createDataFrame([], "key long, weight double"), 0.0, 0.0
+        return spark.createDataFrame([], "shard int, key long, weight double"), 0.0, 0.0
     a = mass / total
     contexts = pairs.groupBy("x").agg(F.sum("c").alias("total"), (F.sum(two) / F.sum("c")).alias("b"))
     bare = spelled(texts, spell).unionByName(spark.createDataFrame([(int(END.view(np.int64)), end)], "y long, p0 double"))
@@ -171,7 +172,14 @@ def weights(spark: SparkSession, texts: DataFrame, spell, end: float, discounts)
 
     table = mapped(seen, keyed, "key long, weight double")
     single = words.select(F.col("y").alias("key"), (F.col("u") + F.coalesce(F.log("b"), F.lit(0.0))).alias("weight"))
-    return table.unionByName(single), float(np.log(a)), float(np.log(begin))
+    done = written(spark, sharded(table.unionByName(single), shards_of(spark)), "word-weights")
+    for part in (pairs, below, words):  # their place on disk is needed for the counts of the documents
+        discard(part)
+    return done, float(np.log(a)), float(np.log(begin))
+
+
+def shards_of(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -287,9 +295,7 @@ def _summed(parts: pa.Table) -> pa.Table:
 
 def gains(spark: SparkSession, texts: DataFrame, table: DataFrame) -> DataFrame:
     """id, gain: what the weights of a text's words and pairs add up to; one row for each id."""
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = written(spark, sharded(table, shards), "word-weights")
-    spark._jvm.System.gc()  # what the shuffles so far left on disk goes with their plans
+    shards = shards_of(spark)
     both = packed(texts, shards, bitmap(spark, table)).groupBy("shard").cogroup(table.groupBy("shard"))
     parts = both.applyInArrow(_joined, _GOT)
     return parts.groupBy("piece").applyInArrow(_summed, "id long, gain double").groupBy("id").agg(F.max("gain").alias("gain"))
