@@ -57,6 +57,34 @@ def test_labels(spark, text, labels):
     assert (row.n_words, row.n_base, row.first_word, row.last_word, row.base_labels) == base(text)
 
 
+def told(spark, *texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    return [(r.labels, r.score) for r in licenses.scan(spark, docs).orderBy("doc_id").collect()]
+
+
+def test_whole_texts_with_changes(spark):
+    mit = licenses.TEXTS[0][1].split()
+    changed = [w for i, w in enumerate(mit) for w in ([w] if i % 15 else ["so", w] if i % 2 else [])]
+    half = mit[: len(mit) // 3]
+    scattered = [x for a, b in zip(mit, mit[1:], strict=False) for x in (a, b, "zz")]
+    backwards = [x for i in range(len(mit) - 4, -1, -4) for x in mit[i : i + 4]]
+    got = told(spark, *(" ".join(x) for x in (mit, ["Copyright"] * 500 + changed, half, scattered, backwards)), "a " * 5000 + licenses.TEXTS[4][1])
+    assert got[0] == ("mit", 1.0)
+    assert "mit" in got[1][0]
+    # The first third holds the whole phrase, which has a template of its own, but not enough of the text.
+    assert got[2][0] == "mit"
+    # Pairs alone, and all k-grams in the wrong order, are no license.
+    assert got[3][0] == got[4][0] == "" and max(got[3][1], got[4][1]) < 0.5
+    assert got[5][0] == "apache"
+
+
+def test_spans_do_not_run_on_in_chains(spark):
+    """One pair of a phrase after the other, each two words further on: the drift of a span ends it."""
+    words = "redistribution and use in source and binary forms with or without modification are permitted".split(" ")
+    chain = [x for a, b in zip(words[::2], words[1::2], strict=True) for x in (a, b, "zz", "zz")]
+    assert told(spark, " ".join(chain))[0][0] == "" and told(spark, " ".join(words))[0] == ("bsd", 1.0)
+
+
 def test_pipeline_against_its_stages_by_hand(spark, labels_dir, tmp_path):
     """Copies, near copies, secrets and toxic texts are planted in a small corpus; what should stay stays."""
     import corpus_pipeline
