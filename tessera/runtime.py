@@ -12,10 +12,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of a batch of rows for Python, where the session does not say: both sides hold a batch or two a core.
+BATCH, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once a session; theirs need not have it installed."""
+    """Send this package's code to the executors, once a session; theirs need not have it installed. Batches get smaller."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -26,6 +28,8 @@ def ship(spark: SparkSession) -> None:
             z.write(file, file.relative_to(package.parent))
     sc.addPyFile(str(archive))
     atexit.register(shutil.rmtree, archive.parent, ignore_errors=True)
+    if spark.conf.get(BATCH) == BATCH_DEFAULT:
+        spark.conf.set(BATCH, BATCH_BYTES)
     _shipped.add(sc.applicationId)
 
 
