@@ -41,10 +41,13 @@ END = 2
 ROWS_A_PARTITION = 500_000
 #: Pieces of a sequence up to which the classes are those of 2, 3, ... pieces a sequence; below, each class reaches down to this part of its longest.
 HALVES, REACH = 4, 8
+#: Shorter pieces: a round that places less than this share of them opens sequences, and what is less than ``TAIL`` of all pieces
+#: with a round gets as many as it fills side by side, which ends it.
+SHARE, TAIL = 0.02, 0.002
 #: What the numbers of sequences that open empty start from; pieces have smaller ones.
 FIRST_EMPTY = 1 << 62
-#: Words whose ids a worker remembers, twice as many at most: some 40 MB.
-WORDS_KEPT = 100_000
+#: Words whose ids a worker remembers, twice as many at most: some 30 MB.
+WORDS_KEPT = 75_000
 
 
 class Pieces(Memo):
@@ -254,7 +257,7 @@ def pack(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY) -> Da
     gaps = pieces.filter(alone & (F.col("length") < capacity)).select(F.col("pid").alias("seq"), (F.lit(capacity) - F.col("length")).alias("size"))
     sizes = {capacity - x: n for x, n in many.items() if capacity // 2 < x < capacity}
     lengths = sorted(x for x in many if x <= capacity // 2)
-    placed, opened = [], 0
+    placed, opened, all_ = [], 0, sum(many[x] for x in lengths)
     while lengths:
         top = lengths[-1]
         each = capacity // top
@@ -269,8 +272,9 @@ def pack(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY) -> Da
                 done, left, gaps, got, sizes = swept_round(spark, left, gaps, (n + places) // ROWS_A_PARTITION + 1, top, min(own), most, capacity)
                 placed.append(done)
                 own = {x: c - got.get(x, 0) for x, c in own.items() if c > got.get(x, 0)}
-            if (n := sum(own.values())) and (not got or each <= HALVES):
-                new = -(-n // each) if each <= HALVES else -(-sum(x * c for x, c in own.items()) // capacity)
+            if (rest := sum(own.values())) and (each <= HALVES or n - rest <= SHARE * n):
+                aside = each <= HALVES or rest <= TAIL * all_
+                new = -(-rest // each) if aside else -(-sum(x * c for x, c in own.items()) // capacity)
                 empty = spark.range(FIRST_EMPTY + opened, FIRST_EMPTY + opened + new).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("size"))
                 gaps, opened, sizes = gaps.unionByName(empty), opened + new, sizes | {capacity: new + sizes.get(capacity, 0)}
     own_ = pieces.filter(alone).select(*PIECE, F.col("pid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
