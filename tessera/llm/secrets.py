@@ -60,7 +60,7 @@ GUESS_BITS = 36.0
 #: Words of the corpus that a guesser knows, most frequent first, and how many bytes they have.
 DICTIONARY, SHORTEST, LONGEST = 1 << 19, 3, 24
 #: Different words that a task counts before it sends them on.
-COUNTED = 400_000
+COUNTED = 100_000
 
 #: Frequent parts of passwords and placeholders, most frequent first.
 WORDS = (
@@ -119,22 +119,25 @@ class Ranks:
     @classmethod
     def of(cls, words: dict[str, int]) -> Ranks:
         """Of a dictionary by counts: the most frequent word comes first; equally frequent ones share the last of their ranks."""
-        counts = np.array(sorted(words.values()), np.int64)
-        names = sorted((_name(w), len(counts) - int(np.searchsorted(counts, n))) for w, n in words.items())
-        return cls(array("Q", [h for h, _ in names]).tobytes(), array("I", [r for _, r in names]).tobytes())
+        return cls.of_counts(np.array([_name(w.encode()) for w in words], np.uint64), np.array(list(words.values()), np.int64))
+
+    @classmethod
+    def of_counts(cls, names: np.ndarray, counts: np.ndarray) -> Ranks:
+        order = np.argsort(names)
+        ranks = len(counts) - np.searchsorted(np.sort(counts), counts[order])
+        return cls(names[order].tobytes(), ranks.astype(np.uint32).tobytes())
 
     def of_word(self, word: str) -> int | None:
         if word in OWN:
             return OWN[word]
         if not SHORTEST <= len(word) or not len(self.hashes):
             return None
-        at = bisect.bisect_left(self.hashes, h := _name(word))
+        at = bisect.bisect_left(self.hashes, h := _name(word.encode()))
         return len(OWN) + self.ranks[at] if at < len(self.hashes) and self.hashes[at] == h else None
 
 
-def _name(word: str) -> int:
+def _name(raw: bytes) -> int:
     """A hash of 64 bits: two checksums of 32, the second over the bytes from the back."""
-    raw = word.encode()
     return zlib.crc32(raw) << 32 | zlib.crc32(raw[::-1], len(raw) * 0x9E3779B1 & 0xFFFFFFFF)
 
 
@@ -316,8 +319,9 @@ def dictionary(spark: SparkSession, docs: DataFrame, size: int = DICTIONARY) ->
         held: Counter[bytes] = Counter()
 
         def out() -> pa.RecordBatch:
-            own = [(w, n) for w, n in held.items() if SHORTEST <= len(w) <= LONGEST]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in own], pa.binary()), pa.array([n for _, n in own], pa.int64())], names=["word", "n"])
+            own = [(_name(w), n) for w, n in held.items() if SHORTEST <= len(w) <= LONGEST]
+            names = np.array([w for w, _ in own], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array([n for _, n in own], pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for text in batch.column(0):
@@ -327,7 +331,7 @@ def dictionary(spark: SparkSession, docs: DataFrame, size: int = DICTIONARY) ->
                     held.clear()
         yield out()
 
-    counts = mapped(docs.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = mapped(docs.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = written(spark, counts, "words")
     # Words by steps of their counts: some hundreds of rows whatever the corpus.
     step = F.floor(F.log2("n") * 16).alias("step")
@@ -342,7 +346,7 @@ def dictionary(spark: SparkSession, docs: DataFrame, size: int = DICTIONARY) ->
     if not least:
         return NO_RANKS
     found = counts.filter(F.col("n") >= least).toArrow()  # at most ``size`` rows
-    return Ranks.of({w.decode(errors="replace"): n for w, n in zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True)})
+    return Ranks.of_counts(found["word"].to_numpy().view(np.uint64), found["n"].to_numpy())
 
 
 def spans(text: str | None, ranks: Ranks = NO_RANKS) -> list[tuple[int, int, int]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -25,6 +26,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def release() -> None:
     """Give memory that is free back to the system: workers live on, and their free memory adds up over stages."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
