@@ -10,12 +10,14 @@ A text's logarithm is a sum over its own words and pairs, since each level divid
 
 so a text's counts meet one table of (key, weight), in shards by key: what was not counted weighs nothing and needs no row.
 The vocabulary, the pairs and the weights grow with the trusted text and are never collected or broadcast; what is broadcast is
-a bitmap of bounded size that leaves out rows which would meet no weight.
+a bitmap of bounded size that leaves out rows which would meet no weight. Both joins run in ``ROUNDS``, over pairs and over
+rows of the documents, whose shuffles go before the next round begins: their place on disk is bounded, whatever the size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,10 @@ from tessera.runtime import discard
 
 #: Bytes and texts whose counts are put together before they are sent; a longer text is one piece.
 CHUNK, CHUNK_TEXTS = 8 << 20, 60_000
+#: Rounds of the joins of pairs with their words, and of documents with the weights.
+ROUNDS = 3
+#: Weights of a shard that more shards are made for, and of a task that are packed together.
+SHARD_ROWS, PACK_ROWS = 1 << 21, 1 << 20
 #: Bits of the map of counted keys, at most, as a power of two: 32 MB.
 MAP_BITS = 28
 #: Keys of what stands before a text and after it.
@@ -139,7 +145,7 @@ def spelled(texts: DataFrame, spell) -> DataFrame:
 
 
 def weights(spark: SparkSession, texts: DataFrame, spell, end: float, discounts) -> tuple[DataFrame, float, float]:
-    """shard, key, weight of all words and pairs, written; the logarithms that every token (a) and every text (b of BEGIN) has besides.
+    """key, weight of all words and pairs, written; the logarithms that every token (a) and every text (b of BEGIN) has besides.
 
     ``spell`` and ``end``: the logarithms that a piece's tokens and the end of a text have below the counts.
     """
@@ -153,33 +159,34 @@ def weights(spark: SparkSession, texts: DataFrame, spell, end: float, discounts)
     one, two = cut(discounts(below)), cut(discounts(pairs))
     total, mass = below.agg(F.sum("c"), F.sum(one)).first()
     if not total:
-        return spark.createDataFrame([], "shard int, key long, weight double"), 0.0, 0.0
+        return spark.createDataFrame([], "key long, weight float"), 0.0, 0.0
     a = mass / total
-    contexts = pairs.groupBy("x").agg(F.sum("c").alias("total"), (F.sum(two) / F.sum("c")).alias("b"))
+    contexts = written(spark, pairs.groupBy("x").agg(F.sum("c").alias("total"), (F.sum(two) / F.sum("c")).alias("b")), "word-contexts")
     bare = spelled(texts, spell).unionByName(spark.createDataFrame([(int(END.view(np.int64)), end)], "y long, p0 double"))
     p1 = (F.col("c") - one) / total + F.lit(a) * F.exp("p0")
     words = below.join(bare, "y").select("y", F.log(p1).alias("p1"), (F.log(p1) - F.lit(float(np.log(a))) - F.col("p0")).alias("u"))
     words = written(spark, words.join(contexts.withColumnRenamed("x", "y"), "y", "left"), "words")
     begin = contexts.filter(F.col("x") == int(BEGIN.view(np.int64))).first().b
-    contexts = contexts.select("x", "total", "b")
     more = (F.col("c") - two) / F.col("total") / F.col("b")
-    seen = pairs.join(contexts, "x").join(words.select("y", "p1"), "y").select("x", "y", F.log1p(more * F.exp(-F.col("p1"))).alias("weight"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             x, y = (t.column(i).to_numpy().view(np.uint64) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([_signed(pair_key(x, y)), t.column(2)], names=["key", "weight"])
 
-    table = mapped(seen, keyed, "key long, weight double")
-    single = words.select(F.col("y").alias("key"), (F.col("u") + F.coalesce(F.log("b"), F.lit(0.0))).alias("weight"))
-    done = written(spark, sharded(table.unionByName(single), shards_of(spark)), "word-weights")
-    for part in (pairs, below, words):  # their place on disk is needed for the counts of the documents
+    single = words.select(F.col("y").alias("key"), (F.col("u") + F.coalesce(F.log("b"), F.lit(0.0))).cast("float").alias("weight"))
+    done = written(spark, single, "word-weights")
+    for number in range(ROUNDS):
+        some = pairs.filter(F.pmod(F.xxhash64("x", "y"), F.lit(ROUNDS)) == number)
+        seen = some.join(contexts, "x").join(words.select("y", "p1"), "y").select("x", "y", F.log1p(more * F.exp(-F.col("p1"))).cast("float").alias("weight"))
+        done = done.unionByName(written(spark, mapped(seen, keyed, "key long, weight float"), "word-weights"))
+    for part in (pairs, below, contexts, words):  # their place on disk is needed for the counts of the documents
         discard(part)
     return done, float(np.log(a)), float(np.log(begin))
 
 
-def shards_of(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def shards_of(spark: SparkSession, rows: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // SHARD_ROWS)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -192,28 +199,70 @@ def _whole(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(wide, len(raw) // wide).T).reshape(-1).view(kind)
 
 
+def _deltas(keys: np.ndarray) -> bytes:
+    """Sorted keys by their distances."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(_whole(raw, np.uint64), dtype=np.uint64)
+
+
 _PACKED = "shard int, piece long, ids binary, n int, keys binary, runs binary, at binary, c binary"
-_GOT = "piece long, shard int, ids binary, sums binary"
+_TABLE = "shard int, n int, keys binary, weights binary"
+_GOT = "piece long, shard int, ids binary, at binary, sums binary"
+
+
+def sharded(table: DataFrame, shards: int) -> DataFrame:
+    """The weights of ``table`` (key, weight) packed by shard of the key: a row for each shard and ``PACK_ROWS`` of a task."""
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        key = np.concatenate([t.column(0).to_numpy().view(np.uint64) for t in held])
+        weight = np.concatenate([t.column(1).to_numpy() for t in held])
+        order = np.argsort(key)
+        key, weight = key[order], weight[order]
+        bounds = np.append(np.searchsorted(key, _floors(shards)), len(key))
+        rows = [(s, hi - lo, _deltas(key[lo:hi]), weight[lo:hi].tobytes()) for s, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if lo < hi]
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "n", "keys", "weights"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for t in batches:
+            if t.num_rows:
+                held.append(t)
+                n += t.num_rows
+            if n >= PACK_ROWS:
+                yield pack(held)
+                held, n = [], 0
+        if held:
+            yield pack(held)
+
+    return mapped(table, run, _TABLE)
 
 
 def bitmap(spark: SparkSession, table: DataFrame) -> tuple[np.ndarray, int]:
-    """A bit for each range of keys that has a weight, at most 2 ** MAP_BITS; and how far a key is shifted to its bit.
+    """A bit for each range of keys that has a weight (``table`` as of ``sharded``), at most 2 ** MAP_BITS; and how far a
+    key is shifted to its bit.
 
     It only saves rows that would meet nothing; where it is full, all rows are sent.
     """
-    size = min(max(16 * table.count(), 8).bit_length(), MAP_BITS)
+    rows = table.agg(F.sum("n")).first()[0] or 0
+    size = min(max(16 * rows, 8).bit_length(), MAP_BITS)
     shift = 64 - size
 
     def run(rows: pa.Table) -> pa.Table:
-        at = rows["key"].to_numpy().view(np.uint64) >> np.uint64(shift)
+        at = np.concatenate([_keys(raw.as_py()) for raw in rows["keys"]]) >> np.uint64(shift)
         low = int(at.min()) // 8 * 8
         own = np.zeros(int(at.max()) - low + 1, np.uint8)
         own[(at - np.uint64(low)).astype(np.int64)] = 1
         return pa.table({"low": [low // 8], "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
 
     out = np.zeros(1 << (size - 3), np.uint8)
-    for r in table.groupBy("shard").applyInArrow(run, "low long, bits binary").toLocalIterator():
+    parts = written(spark, table.select("shard", "keys").groupBy("shard").applyInArrow(run, "low long, bits binary"), "word-bits")
+    for r in parts.toLocalIterator():
         out[r.low : r.low + len(r.bits)] |= np.frombuffer(r.bits, np.uint8)
+    discard(parts)
     return out, shift
 
 
@@ -243,9 +292,8 @@ def packed(texts: DataFrame, shards: int, known: tuple[np.ndarray, int]) -> Data
                     part = key[lo:hi]
                     begins = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: hi - lo])
                     runs = np.diff(np.append(begins, hi - lo)).astype(np.uint32)
-                    keys = np.diff(part[begins], prepend=np.uint64(0))
                     named = ids[first : first + piece.texts].tobytes() if s == 0 else None
-                    rows.append((s, number, named, piece.texts, _planes(keys), _planes(runs), _planes(at[lo:hi]), _planes(c[lo:hi])))
+                    rows.append((s, number, named, piece.texts, _deltas(part[begins]), _planes(runs), _planes(at[lo:hi]), _planes(c[lo:hi])))
                 number += 1
                 kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int32(), *[pa.binary()] * 4]
                 names = [n.split()[0] for n in _PACKED.split(", ")]
@@ -258,44 +306,46 @@ def _floors(shards: int) -> np.ndarray:
     return np.array([s * (1 << 64) // shards for s in range(shards)], np.uint64)
 
 
-def sharded(table: DataFrame, shards: int) -> DataFrame:
-    """key, weight with the shard of the key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            key = t.column(0).to_numpy().view(np.uint64)
-            shard = pa.array((np.searchsorted(_floors(shards), key, "right") - 1).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([shard, t.column(0), t.column(1)], names=["shard", "key", "weight"])
-
-    return mapped(table, run, "shard int, key long, weight double")
-
-
 def _joined(counts: pa.Table, table: pa.Table) -> pa.Table:
-    known = table["key"].to_numpy().view(np.uint64)
-    order = np.argsort(known)
-    known, w = known[order], table["weight"].to_numpy()[order]
+    known = np.concatenate([np.zeros(0, np.uint64), *(_keys(raw.as_py()) for raw in table["keys"])])
+    order = np.argsort(known, kind="stable")
+    w = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(raw.as_py(), np.float32) for raw in table["weights"])])[order]
+    known = known[order]
     out = []
-    for r in counts.to_pylist():
-        keys = np.cumsum(_whole(r["keys"], np.uint64), dtype=np.uint64)
+    for i in range(counts.num_rows):
+        r = {c: counts[c][i].as_py() for c in counts.column_names}
+        keys = _keys(r["keys"])
         spot = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
         got = np.where(known[spot] == keys, w[spot], 0.0) if len(known) else np.zeros(len(keys))
         each = np.repeat(got, _whole(r["runs"], np.uint32)) * _whole(r["c"], np.uint32)
-        out.append((r["piece"], r["shard"], r["ids"], np.bincount(_whole(r["at"], np.uint16), each, r["n"]).tobytes()))
-    columns = list(zip(*out, strict=True)) or [()] * 4
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-    return pa.table([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=["piece", "shard", "ids", "sums"])
+        sums = np.bincount(_whole(r["at"], np.uint16), each, r["n"])
+        at = np.flatnonzero(sums).astype(np.uint16)
+        out.append((r["piece"], r["shard"], r["ids"], _planes(at), sums[at].tobytes()))
+    columns = list(zip(*out, strict=True)) or [()] * 5
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=["piece", "shard", "ids", "at", "sums"])
 
 
 def _summed(parts: pa.Table) -> pa.Table:
     rows = sorted(parts.to_pylist(), key=lambda r: r["shard"])
     ids = np.frombuffer(rows[0]["ids"], np.int64)
-    total = np.sum([np.frombuffer(r["sums"], np.float64) for r in rows], axis=0)
+    total = np.zeros(len(ids))
+    for r in rows:
+        total[_whole(r["at"], np.uint16)] += np.frombuffer(r["sums"], np.float64)
     return pa.table({"id": ids, "gain": total})
 
 
 def gains(spark: SparkSession, texts: DataFrame, table: DataFrame) -> DataFrame:
-    """id, gain: what the weights of a text's words and pairs add up to; one row for each id."""
-    shards = shards_of(spark)
-    both = packed(texts, shards, bitmap(spark, table)).groupBy("shard").cogroup(table.groupBy("shard"))
-    parts = both.applyInArrow(_joined, _GOT)
-    return parts.groupBy("piece").applyInArrow(_summed, "id long, gain double").groupBy("id").agg(F.max("gain").alias("gain"))
+    """id, gain: what the weights of a text's words and pairs add up to; one row for each id. ``table`` is deleted."""
+    shards = shards_of(spark, table.count())
+    packs = written(spark, sharded(table, shards), "word-shards")
+    discard(table)
+    known = bitmap(spark, packs)
+    number = F.pmod(F.xxhash64(*[c for c in texts.columns if c != "text"]), F.lit(ROUNDS))
+    done = []
+    for i in range(ROUNDS):
+        both = packed(texts.filter(number == i), shards, known).groupBy("shard").cogroup(packs.groupBy("shard"))
+        parts = both.applyInArrow(_joined, _GOT)
+        done.append(written(spark, parts.groupBy("piece").applyInArrow(_summed, "id long, gain double"), "word-gains"))
+    discard(packs)
+    return reduce(DataFrame.unionByName, done).groupBy("id").agg(F.max("gain").alias("gain"))
