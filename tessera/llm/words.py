@@ -17,7 +17,7 @@ rows of the documents, whose shuffles go before the next round begins: their pla
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import mapped, written
 from tessera.runtime import discard
 
-#: Bytes and texts whose counts are put together before they are sent; a longer text is one piece.
-CHUNK, CHUNK_TEXTS = 8 << 20, 60_000
+#: Bytes and texts that are looked at together, and bytes whose counts are put together before they are sent; a longer text is
+#: one piece. Bytes whose words get their keys together.
+CHUNK, CHUNK_TEXTS, SENT = 2 << 20, 60_000, 4 << 20
+KEYED = 1 << 18
 #: Rounds of the joins of pairs with their words, and of documents with the weights.
 ROUNDS = 3
 #: Weights of a shard that more shards are made for, and of a task that are packed together.
@@ -53,6 +55,13 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+_kept = lru_cache(2)(lambda base: _powers(base, KEYED))
+
+
+def _up_to(base: int, n: int) -> np.ndarray:
+    return _kept(base)[:n] if n <= KEYED else _powers(base, n)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -81,13 +90,17 @@ class Piece:
 
     def words(self) -> np.ndarray:
         """Key of each token."""
-        n = len(self.data)
-        if not n:
-            return np.zeros(0, np.uint64)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _powers(_P, n), out=sums[1:])
-        raw = (sums[self.end] - sums[self.start]) * _powers(_INVERSE, n)[self.start]
-        return _mixed(raw + (self.end - self.start).astype(np.uint64) * BEGIN)
+        out = np.empty(len(self.start), np.uint64)
+        at = 0
+        while at < len(out):
+            to = max(at + 1, int(np.searchsorted(self.end, self.start[at] + KEYED, "right")))
+            a, b = self.start[at], self.end[to - 1]
+            begin, end = self.start[at:to] - a, self.end[at:to] - a
+            sums = np.zeros(b - a + 1, np.uint64)
+            np.cumsum((self.data[a:b].astype(np.uint64) + np.uint64(1)) * _up_to(_P, b - a), out=sums[1:])
+            out[at:to] = (sums[end] - sums[begin]) * _up_to(_INVERSE, b - a)[begin]
+            at = to
+        return _mixed(out + (self.end - self.start).astype(np.uint64) * BEGIN)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """x, y and text of each pair of neighbours, from BEGIN to END."""
@@ -98,15 +111,15 @@ class Piece:
         return x, y, np.sort(np.concatenate([at, have]), kind="stable")
 
 
-def pieces(texts: pa.Array) -> Iterator[tuple[Piece, int]]:
+def pieces(texts: pa.Array, chunk: int | None = None) -> Iterator[tuple[Piece, int]]:
     """The texts, some at a time, and the number of the first."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     body = texts.buffers()[2]
     data = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
-    a = 0
+    a, chunk = 0, chunk or CHUNK
     while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + chunk, "right")) - 1)
         b = min(b, a + CHUNK_TEXTS, len(texts))
         yield Piece(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), a
         a = b
@@ -274,13 +287,13 @@ def packed(texts: DataFrame, shards: int, known: tuple[np.ndarray, int]) -> Data
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for piece, first in pieces(batch.column(1)):
+            for piece, first in pieces(batch.column(1), SENT):
                 x, y, at = piece.pairs()
                 key, at = np.concatenate([y, pair_key(x, y)]), np.concatenate([at, at]).astype(np.uint16)
                 spot = key >> shift
                 have = (sent.value[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 > 0
                 key, at = key[have], at[have]
-                order = np.lexsort((at, key))
+                order = np.argsort(key, kind="stable")  # a key's texts are in order already
                 key, at = key[order], at[order]
                 new = np.append(True, (key[1:] != key[:-1]) | (at[1:] != at[:-1]))[: len(key)]
                 first_of = np.flatnonzero(new)
