@@ -279,9 +279,8 @@ def bitmap(spark: SparkSession, table: DataFrame) -> tuple[np.ndarray, int]:
     return out, shift
 
 
-def packed(texts: DataFrame, shards: int, known: tuple[np.ndarray, int]) -> DataFrame:
-    """Counts of the texts' words and pairs (columns id, text): a row for each piece and shard of keys."""
-    sent, shift = texts.sparkSession.sparkContext.broadcast(known[0]), np.uint64(known[1])
+def packed(texts: DataFrame, shards: int, sent, shift: np.uint64) -> DataFrame:
+    """Counts of the texts' words and pairs (columns id, text): a row for each piece and shard of keys. ``sent``: the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -353,12 +352,14 @@ def gains(spark: SparkSession, texts: DataFrame, table: DataFrame) -> DataFrame:
     shards = shards_of(spark, table.count())
     packs = written(spark, sharded(table, shards), "word-shards")
     discard(table)
-    known = bitmap(spark, packs)
+    bits, shift = bitmap(spark, packs)
+    sent = spark.sparkContext.broadcast(bits)  # once: each has its file on every executor
     number = F.pmod(F.xxhash64(*[c for c in texts.columns if c != "text"]), F.lit(ROUNDS))
     done = []
     for i in range(ROUNDS):
-        both = packed(texts.filter(number == i), shards, known).groupBy("shard").cogroup(packs.groupBy("shard"))
+        both = packed(texts.filter(number == i), shards, sent, np.uint64(shift)).groupBy("shard").cogroup(packs.groupBy("shard"))
         parts = both.applyInArrow(_joined, _GOT)
         done.append(written(spark, parts.groupBy("piece").applyInArrow(_summed, "id long, gain double"), "word-gains"))
     discard(packs)
+    sent.destroy()
     return reduce(DataFrame.unionByName, done).groupBy("id").agg(F.max("gain").alias("gain"))
