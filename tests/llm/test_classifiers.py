@@ -114,6 +114,40 @@ def test_without_labels_nothing_is_toxic(spark, labels_dir, odd, none):
     assert toxicity.scored(spark, none, None, {}).isEmpty()
 
 
+def test_all_labelled_texts_are_evidence(spark, tmp_path):
+    """However many there are of a label, and however long they are; equal ones once, and none of the held-out fold."""
+    texts = {i: f"word{i} and w{i % 7}" for i in range(7000)} | {7000: "word1 and w1", 7001: "long " * 210_000}
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string")
+    spark.createDataFrame([(i, i % 2) for i in texts if i % 10], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = toxicity.evidence(spark, docs, str(tmp_path)).collect()
+    own = [i for i in sorted(texts) if i % 10 and not held(i)]
+    ids, bounds = toxicity.buckets(pa.array([texts[i] for i in own]))
+    want = {ids[a:b].tobytes(): i % 2 for a, b, i in zip(bounds[:-1], bounds[1:], own, strict=True)}
+    assert {bytes(r.words): r.target for r in rows} == want and len(rows) == len(want)
+    assert len(rows) > 5000 and 0.75 < np.mean([r.fitted for r in rows]) < 0.85
+
+
+def test_windows_of_long_texts(monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [rng.integers(0, 1 << 32, n, np.uint32) for n in (0, 1, 2, 9, 300)]
+    m = toxicity._start(rng)
+    whole = toxicity._windows(words, m)
+    monkeypatch.setattr(toxicity, "WORDS", 5)
+    for a, b in zip(whole, toxicity._windows(words, m), strict=True):
+        assert all(np.allclose(x, y) for x, y in zip(a, b, strict=True))
+
+
+def test_shards_are_averaged(spark, labels_dir, monkeypatch):
+    """Several shards learn the labels together, wherever the rows lie."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 200)
+    docs = spark.read.parquet(f"{labels_dir}/documents.parquet")
+    (a, limits), (b, _) = (toxicity.trained(spark, d, labels_dir) for d in (docs, docs.repartition(5, "n_chars")))
+    assert np.array_equal(a.embedding, b.embedding) and np.array_equal(a.weight, b.weight)
+    out = toxicity.scored(spark, docs, a, limits).toPandas()
+    own = out["doc_id"].map(held)
+    assert ((out["toxic_score"] >= 0.5) == (out["doc_id"] % 5 == 0))[own].mean() > 0.9
+
+
 # --- quality rules
 
 
