@@ -162,6 +162,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
     """code, c over the tokens of all texts (column ``text``); the end of a text is an empty token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.lean()
         total = np.zeros(CLASSES**ORDER, np.int64)
         for batch in batches:
             for piece, _ in words.pieces(batch.column(0)):
@@ -196,6 +197,7 @@ def scored(spark: SparkSession, docs: DataFrame, counted: DataFrame) -> DataFram
     table, every, begin = words.weights(spark, counted, spell, end, discounts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.lean()
         for batch in batches:
             total, size, events = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for piece, first in words.pieces(batch.column(3)):

@@ -16,6 +16,7 @@ rows of the documents, whose shuffles go before the next round begins: their pla
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
@@ -26,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import mapped, written
+from tessera.llm.shared import mapped, release, written
 from tessera.runtime import discard
 
 #: Bytes and texts that are looked at together, and bytes whose counts are put together before they are sent; a longer text is
 #: one piece. Bytes whose words get their keys together.
-CHUNK, CHUNK_TEXTS, SENT = 2 << 20, 60_000, 4 << 20
+CHUNK, CHUNK_TEXTS, SENT = 1 << 20, 60_000, 2 << 20
 KEYED = 1 << 18
 #: Rounds of the joins of pairs with their words, and of documents with the weights.
 ROUNDS = 3
@@ -44,11 +45,21 @@ BEGIN, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _P = 0x5851F42D4C957F2D
 _INVERSE = pow(_P, -1, 1 << 64)
 
+#: Bytes from which an array has memory of its own that goes back when it is freed, and glibc's name for that.
+OWN_BYTES, _MMAP_THRESHOLD = 1 << 20, -3
+
 _KIND = np.full(256, 2, np.uint8)  # 0 white space, 1 part of a word, 2 a token by itself
 _KIND[list(b" \t\n\r\x0b\x0c")] = 0
 _KIND[48:58] = _KIND[65:91] = _KIND[97:123] = _KIND[128:] = 1
 
 
+def lean() -> None:
+    """Keep no freed arrays: else glibc raises its bound to the largest one freed, and holes between arrays stay with the worker."""
+    option = getattr(ctypes.CDLL(None), "mallopt", None)
+    if option is not None:
+        option(_MMAP_THRESHOLD, OWN_BYTES)
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
@@ -133,6 +144,7 @@ def counted(texts: DataFrame) -> DataFrame:
     """x, y, c over all texts (column ``text``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for piece, _ in pieces(batch.column(0)):
                 x, y, _ = piece.pairs()
@@ -149,6 +161,7 @@ def spelled(texts: DataFrame, spell) -> DataFrame:
     """y, p0 for each word of the texts: the logarithm of its probability by its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for piece, _ in pieces(batch.column(0)):
                 key, at = np.unique(piece.words()[piece.word], return_index=True)
@@ -240,6 +253,7 @@ def sharded(table: DataFrame, shards: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "n", "keys", "weights"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         held, n = [], 0
         for t in batches:
             if t.num_rows:
@@ -283,6 +297,7 @@ def packed(texts: DataFrame, shards: int, sent, shift: np.uint64) -> DataFrame:
     """Counts of the texts' words and pairs (columns id, text): a row for each piece and shard of keys. ``sent``: the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -319,6 +334,8 @@ def _floors(shards: int) -> np.ndarray:
 
 
 def _joined(counts: pa.Table, table: pa.Table) -> pa.Table:
+    lean()
+    release()  # what the groups before left
     known = np.concatenate([np.zeros(0, np.uint64), *(_keys(raw.as_py()) for raw in table["keys"])])
     order = np.argsort(known, kind="stable")
     w = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(raw.as_py(), np.float32) for raw in table["weights"])])[order]

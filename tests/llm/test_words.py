@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -114,3 +116,19 @@ def test_thresholds_part_the_labels(spark):
     out = perplexity.limits(spark.createDataFrame(rows, "lang string, id long, good boolean, perplexity double")).collect()
     assert {(r.every, r.lang) for r in out} == {(False, "en"), (True, None)}
     assert all(1.98 < r.own < 5 for r in out)
+
+
+def test_freed_arrays_go_back():
+    """Also those that lie between others, after a large one was freed."""
+    code = """
+import numpy as np
+from tessera.llm import words
+words.lean()
+held = lambda: int(open('/proc/self/statm').read().split()[1]) * 4096
+np.ones(3 << 20)
+arrays = [np.ones(1 << 18) for _ in range(60)]
+full = held()
+del arrays[::2]
+assert full - held() > 50 << 20, (full, held())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=re.sub(r"/tests/.*", "", __file__))
